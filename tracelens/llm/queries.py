@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, secrets, token_counts, token_index
+from . import mixing, neardup, secrets, token_counts, token_index, toxicity
 from .common import table
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.token_index(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), end_id=2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,5 +42,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_TOKENIZER), limit=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_index, op5_mixing, op6_neardup, op7_secrets, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_index, op4_toxicity, op5_mixing, op6_neardup, op7_secrets, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
