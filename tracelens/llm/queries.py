@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, secrets, token_counts, token_index, toxicity
+from . import decontam, html_extract, mixing, neardup, secrets, token_counts, token_index, toxicity
 from .common import table
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -38,9 +38,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_TOKENIZER), limit=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_index, op4_toxicity, op5_mixing, op6_neardup, op7_secrets, op9_token_counts)}
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_index, op4_toxicity, op5_mixing, op6_neardup, op7_secrets, op8_html, op9_token_counts, op10_decontam)}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
