@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, mixing, neardup, secrets, token_counts, token_index, toxicity
+from . import ann, chat, decontam, html_extract, mixing, neardup, secrets, token_counts, token_index, toxicity
 from .common import table
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -22,6 +22,14 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.token_index(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), end_id=2)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,5 +58,5 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_index, op4_toxicity, op5_mixing, op6_neardup, op7_secrets, op8_html, op9_token_counts, op10_decontam)}
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_index, op2_ann, op3_chat, op4_toxicity, op5_mixing, op6_neardup, op7_secrets, op8_html, op9_token_counts, op10_decontam)}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
