@@ -265,22 +265,34 @@ class Scanner:
         return [(d, i, *v) for (d, i), v in sorted(found.items())]
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and benchmark item found in it: key, item_id, cosine, lcs_share, answered, kind."""
+def _models(docs: DataFrame, bench: DataFrame, text: str, item_key: str, item_text: str) -> Iterator:
+    """A broadcast (model, item texts, item keys) for each block of benchmark items."""
     spark = docs.sparkSession
-    src = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    kind = src.schema["k"].dataType.simpleString()
+    src = docs.select(F.col(f"`{text}`").alias("t"))
     items = bench.select(F.col(f"`{item_key}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null").orderBy("i", "t")
-    schema = f"k {kind}, item_id long, cosine double, lcs_share double, answered boolean, kind string"
-    out = spark.createDataFrame([], schema)
-    block: list[tuple[int, str]] = []
 
-    def scan(block: list[tuple[int, str]]) -> DataFrame:
+    def fitted(block: list[tuple[int, str]]):
         model = Model(list(enumerate(t for _, t in block)))
         model.weigh(*_frequencies(src, model.vocab))
         model.project(_range_finder(src, spark.sparkContext.broadcast(model)))
-        shared = spark.sparkContext.broadcast((model, {n: t for n, (_, t) in enumerate(block)}, [i for i, _ in block]))
+        return spark.sparkContext.broadcast((model, {n: t for n, (_, t) in enumerate(block)}, [i for i, _ in block]))
+
+    block: list[tuple[int, str]] = []
+    for r in items.toLocalIterator():
+        block.append((r["i"], r["t"]))
+        if len(block) == BLOCK_ITEMS:
+            yield fitted(block)
+            block = []
+    if block:
+        yield fitted(block)
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document and benchmark item found in it: key, item_id, cosine, lcs_share, answered, kind."""
+    src = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    schema = f"k {src.schema['k'].dataType.simpleString()}, item_id long, cosine double, lcs_share double, answered boolean, kind string"
 
+    def finder(shared):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, texts, names = shared.value
             s = Scanner(m, texts)
@@ -295,12 +307,31 @@ def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: s
                             names=["k", "item_id", "cosine", "lcs_share", "answered", "kind"],
                         )
 
-        return src.mapInArrow(find, schema)
+        return find
 
-    for r in items.toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) == BLOCK_ITEMS:
-            out, block = out.unionByName(scan(block)), []
-    if block:
-        out = out.unionByName(scan(block))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for shared in _models(docs, bench, text, item_key, item_text):
+        out = out.unionByName(src.mapInArrow(finder(shared), schema))
     return out.withColumnRenamed("k", key)
+
+
+def decontaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs` that hold no benchmark item, with all their columns. No shuffle of documents."""
+
+    def cleaner(shared):
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, texts, _ = shared.value
+            s = Scanner(m, texts)
+            for b in batches:
+                for i in range(0, b.num_rows, ROWS):
+                    x = b.slice(i, ROWS)
+                    keep = np.ones(x.num_rows, bool)
+                    keep[[h[0] for h in s(x.column(text).to_pylist())]] = False
+                    yield x.filter(pa.array(keep))
+
+        return clean
+
+    out = docs
+    for shared in _models(docs, bench, text, item_key, item_text):
+        out = out.mapInArrow(cleaner(shared), docs.schema)
+    return out

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Letters of the language model; 0 is the word edge and every other character.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßšž"
@@ -208,8 +209,10 @@ def crc_mod(key, n: int = 5):
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, held_out, score, predicted, hits (lexicon words). Labels of held-out documents are not used."""
+def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns and rows of `docs` and, behind them, _score and _hits (lexicon words). No shuffle of documents.
+
+    Labels of held-out documents (crc32 of the key modulo 5 is 0) are not used."""
     src = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     counts = trigram_counts(src)
     known = labels.select(F.col(f"`{key}`").alias("k"), F.col("toxic").cast("int").alias("y")).where("k is not null and y is not null").where(crc_mod(F.col("k")) != 0)
@@ -241,36 +244,56 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str
     lexicon = learn_lexicon([(w.split(" "), y) for w, y in rows])
     base = float(np.mean([y for _, y in rows])) if rows else 0.0
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored():
         r, lex, memo = Restorer(channel.value), lexicon, {}
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                x = b.slice(i, 500)
-                hits, n = [], []
-                for t in x.column("t").to_pylist():
-                    words = r(t or "")
-                    try:
-                        h = sum(map(memo.__getitem__, words))
-                    except KeyError:
-                        if len(memo) > MEMO:
-                            memo.clear()
-                        for w in set(words):
-                            if w not in memo:
-                                memo[w] = hit_words([r.word(w)], lex)
-                        h = sum(map(memo.__getitem__, words))
-                    hits.append(h)
-                    n.append(len(words))
-                yield pa.RecordBatch.from_arrays([x.column("k"), pa.array(hits, pa.int64()), pa.array(n, pa.int64())], names=["k", "hits", "n"])
-
-    kind = src.schema["k"].dataType.simpleString()
+
+        def of(texts: list[str | None]) -> tuple[list[int], list[int]]:
+            hits, n = [], []
+            for t in texts:
+                words = r(t or "")
+                try:
+                    h = sum(map(memo.__getitem__, words))
+                except KeyError:
+                    if len(memo) > MEMO:
+                        memo.clear()
+                    for w in set(words):
+                        if w not in memo:
+                            memo[w] = hit_words([r.word(w)], lex)
+                    h = sum(map(memo.__getitem__, words))
+                hits.append(h)
+                n.append(len(words))
+            return hits, n
+
+        return of
+
     # the few numbers of the document model are fitted on the same labelled sample
-    fit_on = src.join(F.broadcast(known), "k").select(F.col("y").alias("k"), "t").mapInArrow(scored, "k int, hits long, n long").distinct().collect()
-    y = np.array([f["k"] for f in fit_on], float)
+    fit_on = src.join(F.broadcast(known), "k").select(F.col("y").alias("_y"), F.col("t").alias("_t")).mapInArrow(_annotator(scored, "_t"), "_y int, _t string, _hits long, _n long").select("_y", "_hits", "_n").distinct().collect()
+    y = np.array([f["_y"] for f in fit_on], float)
     if len(set(y)) == 2 and lexicon:
-        w = fit_logistic(doc_features(np.array([f["hits"] for f in fit_on], float), np.array([f["n"] for f in fit_on], float)), y)
+        w = fit_logistic(doc_features(np.array([f["_hits"] for f in fit_on], float), np.array([f["_n"] for f in fit_on], float)), y)
     else:
         w = np.array([np.log((base + 1e-6) / (1 - base + 1e-6)), 0, 0, 0])
-    share = F.col("hits") / F.greatest(F.col("n"), F.lit(1))
-    z = F.lit(float(w[0])) + F.least(F.col("hits"), F.lit(1)) * float(w[1]) + F.log1p(F.col("hits").cast("double")) * float(w[2]) + F.log1p(share * 1000) * float(w[3])
-    out = src.mapInArrow(scored, f"k {kind}, hits long, n long").withColumn("score", F.lit(1.0) / (F.exp(-z) + 1))
-    return out.select(F.col("k").alias(key), (crc_mod(F.col("k")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
+    share = F.col("_hits") / F.greatest(F.col("_n"), F.lit(1))
+    z = F.lit(float(w[0])) + F.least(F.col("_hits"), F.lit(1)) * float(w[1]) + F.log1p(F.col("_hits").cast("double")) * float(w[2]) + F.log1p(share * 1000) * float(w[3])
+    schema = StructType([*docs.schema.fields, StructField("_hits", LongType()), StructField("_n", LongType())])
+    return docs.mapInArrow(_annotator(scored, text), schema).withColumn("_score", F.lit(1.0) / (F.exp(-z) + 1)).drop("_n")
+
+
+def _annotator(count, text: str):
+    """A batch function that puts what `count` gives for the texts behind all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = count()
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                x = b.slice(i, 500)
+                hits, n = of(x.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(hits, pa.int64()), pa.array(n, pa.int64())], names=[*x.schema.names, "_hits", "_n"])
+
+    return run
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key, held_out, score, predicted, hits."""
+    out = score_rows(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)), labels, sample, key, text)
+    return out.select(key, (crc_mod(F.col(key)) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_hits").alias("hits"))
