@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through the stages below, each written as Parquet and read again."""
+"""The corpus pipeline: documents through the stages below, each written as Parquet and read again by the next.
+
+Toxic documents go, then all but one of each group of near copies, then documents that hold benchmark
+passages; the rest is mixed to target weights by source, and the mix is written as token-id shards.
+Its rows are those that the last stage reads back from its shards."""
 
 from __future__ import annotations
 
@@ -6,5 +10,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tracelens.llm import stages
+from tracelens.llm.common import drop_path, shared_path, table
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", stages.drop_toxic),
+    ("minhash_near_dedup", stages.drop_near_copies),
+    ("benchmark_decontamination", stages.drop_benchmark),
+    ("source_mixing", stages.mix),
+    ("token_id_output", stages.index_tokens),
+]
+
+#: None of SQL's engines learns the toxicity stage; the tests hold run() against a plain version.
 ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
