@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: str.split() would also cut at other Unicode spaces, so those five controls become spaces first.
-TO_SPACE = {i: " " for i in range(0x09, 0x0E)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,31 +45,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words (see WORD) of a text, A-Z lower-cased; [] for null."""
-    return ascii_lower(text or "").translate(TO_SPACE).split(" ") if text else []
+def word_list(text: str | None) -> list[bytes]:
+    """Words of a text as the contracts define them (see WORD), A-Z lower-cased, in UTF-8.
 
-
-_UPPER = {i: i + 32 for i in range(65, 91)}
-_CLEAN = TO_SPACE | _UPPER
-
-
-def ascii_lower(text: str) -> str:
-    return text.translate(_UPPER)
-
-
-def word_list(text: str | None) -> list[str]:
-    """Words of a text as the contracts define them, A-Z lower-cased, other case kept."""
-    if not text:
-        return []
-    if text.isascii():
-        t = text.lower()
-    else:
-        t = text.translate(_UPPER)
-    for c in "\n\t\r\x0b\x0c":
-        if c in t:
-            t = t.replace(c, " ")
-    return [w for w in t.split(" ") if w]
+    Of bytes, lower() and split() know ASCII only: A-Z, and space with U+0009..U+000D."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 class WordHash:
@@ -82,7 +60,7 @@ class WordHash:
 
         self._h, self._memo, self._limit = xxhash.xxh3_64_intdigest, {}, limit
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         memo = self._memo
         try:
             return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
@@ -90,8 +68,9 @@ class WordHash:
             if len(memo) > self._limit:
                 memo.clear()
             h = self._h
-            for w in set(words) - memo.keys():
-                memo[w] = h(w.encode("utf-8", "surrogatepass"))
+            for w in set(words):
+                if w not in memo:
+                    memo[w] = h(w)
             return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 

@@ -3,7 +3,7 @@
 1. Shingles: words (A-Z lower-cased) in runs of five, as a set of 64-bit hashes. Documents of
    equal sets (128-bit digest and size) are one class, represented by the smallest key; all that
    follows is about representatives, so copies cost nothing further.
-2. Signatures: `BANDS` * `ROWS` minima per set. Each band's minima make a bucket key (64 bits);
+2. Signatures: `BANDS` * `ROWS` minima per set (and a few more for the estimate). Each band's minima make a bucket key (64 bits);
    of every minimum only the `BITS` low bits are kept, packed.
 3. Candidates: representatives of the same bucket are linked to the bucket's smallest key,
    never with each other. A pair's similarity is estimated from the packed signatures by bit
@@ -16,8 +16,8 @@
    pairs of different components that pass the estimate come out, for confirmation as in 4.
    Pairs within a component can't change it and are skipped. Then 5 again.
 
-At the threshold of 85 of 100 a linked pair shares no bucket with a probability below 3e-7
-(32 bands of 6); farther copies of a group find each other through more than one path.
+A pair at a threshold of 80 of 100 shares no bucket with a probability below 3e-7, at 85 of 100
+below 3e-10 (38 bands of 5); farther copies of a group find each other through more than one path.
 
 Nulls and empty texts have an empty set, and are linked with nothing (not even with each
 other). A null key is kept with a null component. Very long texts are whole sets, hashed in
@@ -37,16 +37,16 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, checkpointed, drop_path, mix64, shared_path, shingle_set, word_list
 
-BANDS, ROWS, BITS, SLICE = 32, 6, 4, 2048
+BANDS, ROWS, BITS, SLICE = 38, 5, 4, 2048
 BLOCK = 512
-_SIZE = BANDS * ROWS
+_SIZE = BANDS * ROWS + 63 & ~63  # whole words of bits
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _MUL = _rng.integers(0, 1 << 32, _SIZE, np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, _SIZE, np.uint64).astype(np.uint32)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The `BANDS * ROWS` minima of a set of 64-bit hashes."""
+    """The `_SIZE` minima of a set of 64-bit hashes."""
     low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     best = np.full(_SIZE, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
@@ -59,7 +59,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(m: np.ndarray) -> np.ndarray:
     acc = np.arange(BANDS, dtype=np.uint64)
-    rows = m.reshape(BANDS, ROWS).astype(np.uint64)
+    rows = m[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     with np.errstate(over="ignore"):
         for r in range(ROWS):
             acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
