@@ -8,7 +8,7 @@
 3. Candidates: windows of 1, 2 and 4 strides, at every stride of every document, whose projection
    has a cosine of at least `COSINE` with an item's.
 4. Check: the longest common subsequence of words of the item and the window with a stride on
-   either side. A share of `LCS` of the item's words, and of its terms, is a copy; a share of `PARA` is a
+   either side. A share of `SURE` of the item's words, or of `LCS` of its words and of its terms alone, is a copy; a share of `PARA` is a
    paraphrase if the window also holds the item's answer: the last `ANSWER` terms of its last sentence, in order.
 
 Benchmarks are read in blocks of `BLOCK_ITEMS` items (bounded texts on each executor); documents
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRIDE, FIT, DIMS, RANK = 24, 4, 1024, 48
-COMMON, COSINE, LCS, PARA, ANSWER = 0.1, 0.55, 0.7, 0.5, 3
+STRIDE, FIT, DIMS, RANK = 24, 4, 1024, 64
+COMMON, COSINE, SURE, LCS, PARA, ANSWER = 0.1, 0.42, 0.8, 0.7, 0.5, 3
 BLOCK_ITEMS, ROWS, MEMO = 4096, 400, 300_000
 _EDGES = ".,;:!?\"'()[]{}<>*#%&$|-_…«»„“”’"
 
@@ -210,14 +210,15 @@ class Scanner:
 
     def check(self, item: int, words: list[str]) -> tuple[float, bool, str] | None:
         ws, rare = self.m.items[item][1], self.m.rare[item]
-        if sum((self.bags[item] & Counter(words)).values()) < PARA * len(ws):
+        bag = self.bags[item]
+        if sum(map(bag.__contains__, words)) < PARA * len(ws) or sum((bag & Counter(words)).values()) < PARA * len(ws):
             return None
         share = lcs_length(ws, words) / len(ws)
         if share < PARA:
             return None
         rare_share = lcs_length(rare, [w for w in words if w in self.bags[item]]) / max(1, len(rare))
         answered = in_order(self.answers[item], words)
-        if min(share, rare_share) >= LCS:
+        if share >= SURE or min(share, rare_share) >= LCS:
             return share, answered, "copy"
         return (share, answered, "paraphrase") if rare_share >= PARA and answered else None
 
