@@ -14,7 +14,7 @@
    count and share of lexicon words gives the score.
 
 The labelled rows used are a bounded sample: the `sample` rows with the smallest hash of
-their key (documented bound, default 20,000). Counts of the language model cover all data.
+their key (documented bound, default 8,000). Counts of the language model cover all data.
 
 Nulls and empty texts: no word, scored like any text without lexicon words. Very long texts are
 scored whole. Repeated rows: one result each. No label at all, or one kind only: score is the
@@ -40,7 +40,7 @@ SIZE = 64
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Costs in nats of a sign read as a letter, of a sign or repeated letter dropped, of a repeated letter kept.
 AS_LETTER, DROP_SIGN, DROP_REPEAT, KEEP_REPEAT = 0.5, 1.5, 0.3, 1.0
-BEAM, LONGEST, MEMO, SAMPLE = 24, 40, 500_000, 20_000
+BEAM, LONGEST, MEMO, SAMPLE = 24, 40, 500_000, 8_000
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _RUN = re.compile(r"(.)\1\1")
 _EDGE = re.compile(r"^[^\w@$!|+€£¡*]+|[^\w@$!|+€£¡*]+$")
