@@ -63,19 +63,21 @@ def parse_metrics(df: DataFrame, pred: Column, gold: Column, formatted: Column)
     )
 
 
-def threshold_sweep(df: DataFrame, score: str, gold: Column, thresholds: DataFrame) -> DataFrame:
-    """[A35] Scores at each threshold (column thr), yes meaning score >= thr.
-
-    Rows are counted once per distinct score and running sums give every threshold; rows and thresholds are never paired."""
-    pos = F.sum(gold.cast("long")).alias("p")
-    hist = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"), pos)
-    marks = thresholds.select(F.col("thr").cast("double").alias("x"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("mark"))
-    both = hist.withColumn("mark", F.lit(False)).unionByName(marks)
-    # scores of a threshold or above: everything ordered from the top, scores before the mark of the same value
-    w = Window.orderBy(F.desc("x"), "mark").rowsBetween(Window.unboundedPreceding, 0)
-    at = both.select("x", "mark", F.sum("c").over(w).alias("n_yes"), F.sum("p").over(w).alias("tp"), F.sum("p").over(Window.partitionBy()).alias("all_p"), F.sum("c").over(Window.partitionBy()).alias("all_c")).where("mark")
-    at = at.select(F.col("x").alias("threshold"), "n_yes", "tp", (F.col("n_yes") - F.col("tp")).alias("fp"), (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_c") - F.col("n_yes") - (F.col("all_p") - F.col("tp"))).alias("tn"))
-    return with_scores(at).select("threshold", "precision", "recall", "f1", "n_yes")
+def threshold_sweep(df: DataFrame, score: str, gold: Column, thresholds: list[float]) -> DataFrame:
+    """[A35] Scores at each threshold, yes meaning score >= threshold.
+
+    Each row falls into the bin of how many thresholds it reaches; rows are summed per bin before they
+    meet, and running sums over the few bins give every threshold. Rows and thresholds are never paired."""
+    marks = sorted(set(map(float, thresholds)))
+    x = F.col(score).cast("double")
+    at = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= x))
+    bins = df.where(x.isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.sum(gold.cast("long")).alias("p"))
+    every = df.sparkSession.createDataFrame(list(enumerate(marks, 1)), "bin int, threshold double")
+    bins = bins.join(every, "bin", "full_outer").select("bin", "threshold", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("p", F.lit(0)).alias("p"))
+    up, all_of = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    k = bins.select("threshold", F.sum("c").over(up).alias("n_yes"), F.sum("p").over(up).alias("tp"), F.sum("p").over(all_of).alias("all_p"), F.sum("c").over(all_of).alias("all_c")).where("threshold is not null")
+    k = k.select("threshold", "n_yes", "tp", (F.col("n_yes") - F.col("tp")).alias("fp"), (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_c") - F.col("n_yes") - (F.col("all_p") - F.col("tp"))).alias("tn"))
+    return with_scores(k).select("threshold", "precision", "recall", "f1", "n_yes")
 
 
 def transitions(df: DataFrame, kind: str = "transition") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.entropy import step_stats
+from ..functions.entropy import let, step_stats
 from ..functions.text import strip
 
 HEADER = r"(?miU)(?:^|\n)\s*Step\s+\d+\b"
@@ -40,10 +40,9 @@ def paragraph_spans(text: Column) -> Column:
     gaps = F.split(text, brk, -1)
     breaks = F.concat(F.regexp_extract_all(text, F.lit(brk), F.lit(0)), F.array(F.lit("")))
     both = F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), breaks.alias("b")), lambda x: F.array(x["g"], x["b"])))
-    spans = _placed(both)
-    kept = _not_blank(F.filter(spans, lambda x, i: i % 2 == 0))
+    kept = _not_blank(F.filter(_placed(both), lambda x, i: i % 2 == 0))
     whole = F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e"), text.alias("text")))
-    return F.when(F.size(kept) > 0, kept).otherwise(whole)
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(whole))
 
 
 def sentence_spans(text: Column, base: Column | int = 0) -> Column:
@@ -53,11 +52,15 @@ def sentence_spans(text: Column, base: Column | int = 0) -> Column:
 
 def reasoning_spans(text: Column) -> Column:
     """[G1] By step headers, else by paragraphs if there are several, else by sentences within the only one."""
-    paragraphs = paragraph_spans(text)
-    only = paragraphs[0]
-    sentences = _not_blank(sentence_spans(only["text"], only["s"]))
-    by_sentence = F.when(F.size(sentences) > 0, sentences).otherwise(paragraphs)
-    return F.when(text == "", F.array().cast(_SPAN)).otherwise(F.coalesce(header_spans(text), F.when(F.size(paragraphs) > 1, paragraphs).otherwise(by_sentence)))
+    def by_sentence(paragraphs: Column) -> Column:
+        only = paragraphs[0]
+        return let(_not_blank(sentence_spans(only["text"], only["s"])), lambda found: F.when(F.size(found) > 0, found).otherwise(paragraphs))
+
+    def without_headers(paragraphs: Column) -> Column:
+        return F.when(F.size(paragraphs) > 1, paragraphs).otherwise(by_sentence(paragraphs))
+
+    blocks = F.when(text.rlike(HEADER), header_spans(text)).otherwise(let(paragraph_spans(text), without_headers))
+    return F.when(text == "", F.array().cast(_SPAN)).otherwise(blocks)
 
 
 def token_span(s: Column, e: Column, n_chars: Column, n_tokens: Column) -> Column:

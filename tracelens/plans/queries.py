@@ -247,8 +247,7 @@ def parse_metrics(spark, sf):
 k AS (SELECT threshold, count(*) FILTER (score >= threshold AND gold) AS tp, count(*) FILTER (score >= threshold AND NOT gold) AS fp, count(*) FILTER (score < threshold AND gold) AS fn, count(*) FILTER (score >= threshold) AS n_yes FROM g, p GROUP BY threshold),
 s AS (SELECT threshold, n_yes, {_F1} FROM k) SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, n_yes FROM s""")
 def threshold_sweep(spark, sf):
-    marks = spark.range(60).select((F.col("id") * 100).alias("thr"))
-    return rounded(metrics.threshold_sweep(views.predictions(spark, sf), "score", F.col("gold"), marks))
+    return rounded(metrics.threshold_sweep(views.predictions(spark, sf), "score", F.col("gold"), [100.0 * i for i in range(60)]))
 
 
 _NAMES = verdicts.TRANSITIONS
