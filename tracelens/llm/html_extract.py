@@ -3,7 +3,7 @@
 1. Each page becomes lines: its blocks in page order, references decoded, white space folded. A line carries
    its zone: in an article, in the main part, elsewhere, or in a part that never is main text
    (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
-2. Pages are ordered by host and path (one range shuffle that carries only lines), so that a page's nearest
+2. Pages are ordered by host and path (one range shuffle; they are parsed behind it), so that a page's nearest
    pages of its host are next to it; the one with more of the path in common is its partner.
 3. The lines of the two are aligned by a longest common subsequence; shared lines are the site's
    frame and go, except in an article or main part: copies of an article on one host share its lines too,
@@ -188,27 +188,19 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
     src = pages.select(F.col(f"`{key}`").alias("k"), F.col(f"`{url}`").alias("url"), host.alias("host"), path.alias("path"), F.col(f"`{page}`").alias("page"))
     kind = src.schema["k"].dataType.simpleString()
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                x = b.slice(i, 200)
-                found = [lines_of(p) if p else [] for p in x.column("page").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [x.column("k"), x.column("url"), x.column("host"), x.column("path"), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[z for _, z in f] for f in found], pa.list_(pa.int32()))],
-                    names=["k", "url", "host", "path", "lines", "zones"],
-                )
-
-    parsed = src.mapInArrow(parse, f"k {kind}, url string, host string, path string, lines array<string>, zones array<int>")
-    ordered = parsed.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k")
+    # pages are parsed after the shuffle, so that sampling its ranges doesn't parse them too
+    ordered = src.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for i in range(0, b.num_rows, 200):
-                    yield from b.slice(i, 200).to_pylist()
+                    for r in b.slice(i, 200).to_pylist():
+                        found = lines_of(r.pop("page") or "")
+                        yield r | {"lines": [t for t, _ in found], "zones": [z for _, z in found]}
 
         def result(done: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"k": pa.array([d[0] for d in done], ordered_type), "url": pa.array([d[1] for d in done], pa.string()), "text": pa.array([d[2] for d in done], pa.string())})
+            return pa.RecordBatch.from_pydict({"k": pa.array([d[0] for d in done], key_type), "url": pa.array([d[1] for d in done], pa.string()), "text": pa.array([d[2] for d in done], pa.string())})
 
         def partner(prev, row, nxt):
             near = [(common_prefix(row["path"], o["path"]), o) for o in (prev, nxt) if o and o["host"] == row["host"]]
@@ -229,6 +221,6 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    ordered_type = to_arrow_type(src.schema["k"].dataType)
+    key_type = to_arrow_type(src.schema["k"].dataType)
     out = ordered.mapInArrow(difference, f"k {kind}, url string, text string")
     return out.select(F.col("k").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
