@@ -11,10 +11,11 @@
    errors above the estimate miss the threshold go.
 4. Confirmation: intersection and union of the full shingle sets.
 5. Components by alternating large and small stars over the links (tables, no driver).
-6. Buckets that now hold more than one component are looked through for links across them: each
-   bucket is dealt in blocks, and pairs of blocks are compared by bit counts in a task; only
-   pairs of different components that pass the estimate come out, for confirmation as in 4.
-   Pairs within a component can't change it and are skipped. Then 5 again.
+6. Representatives whose buckets have the same smallest key are a group. Groups that now hold more than one
+   component are looked through for links across them: a group is dealt in blocks, and a task has the texts
+   of two blocks, compares them by bit counts, and confirms pairs of different components that pass
+   on full sets, likeliest first. A link joins the two components for the rest of the task, and only
+   such links come out: fewer than the task has rows. Then 5 again, on components.
 
 A pair at a threshold of 80 of 100 shares no bucket with a probability below 3e-7, at 85 of 100
 below 3e-10 (38 bands of 5); farther copies of a group find each other through more than one path.
@@ -146,15 +147,19 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def texts_of(docs: DataFrame, keys: DataFrame) -> str:
+    """A table (k, t) of the texts of some keys, written once: all texts are dealt by key a single time, and copies of a key fall away."""
+    path = shared_path(docs.sparkSession, "texts")
+    docs.join(keys.distinct(), "k", "left_semi").groupBy("k").agg(F.min_by("t", F.xxhash64("t")).alias("t")).write.parquet(path)
+    return path
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, salts: int = 64) -> DataFrame:
     """Pairs (a, b) whose full sets meet the threshold. Each pair's task gets b's text once for up to a block of a's.
 
     Pairs of one b are dealt over salts, and its text goes to the salts that its pairs are in."""
     spark = pairs.sparkSession
-    path = shared_path(spark, "texts")
-    # the texts that pairs need, once: all texts are dealt by key a single time, and copies of a key fall away
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    docs.join(keys, "k", "left_semi").groupBy("k").agg(F.min_by("t", F.xxhash64("t")).alias("t")).write.parquet(path)
+    path = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("k")))
     texts = spark.read.parquet(path)
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
     left = dealt.join(texts.select(F.col("k").alias("a"), F.col("t").alias("t")), "a").select("b", "salt", "a", "t")
@@ -208,52 +213,70 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("c"))
 
 
-def across(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and pass the estimate.
+def across(members: DataFrame, threshold: float, percent: int, width: int) -> DataFrame:
+    """Links (a, b) that join different components of a group.
 
-    `members`: bucket, k, c, n_shingles, sig of buckets with more than one component. A bucket's members are cut
-    into blocks by hash, and a task compares two blocks; of a pair that shares more than one bucket each bucket reports it."""
+    `members`: g, k, c, n_shingles, sig, t of groups with more than one component. A group's members are cut
+    into blocks by hash, and a task compares two blocks."""
     least = least_equal(threshold)
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    dealt = members.join(size, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    # block i meets blocks 0..i as second and i..last as first; both ends come to the task of (first, second)
+    size = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    dealt = members.join(size, "g").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    # a block goes to the tasks of (larger block, smaller block) that it is one of
     to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.greatest("block", j).alias("i"), F.least("block", j).alias("j")))
-    rows = dealt.select("bucket", "k", "c", "n_shingles", "sig", "block", F.explode(to).alias("to")).select("bucket", "k", "c", "n_shingles", "sig", "block", "to.i", "to.j")
+    rows = dealt.withColumn("to", F.explode(to)).select("g", "to.i", "to.j", "k", "c", "n_shingles", "sig", "block", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_set = sets_of(width)
         held: list = []
         at = None
 
-        def pairs() -> pa.RecordBatch:
-            ks = np.array([r[3] for r in held], np.int64)
-            cs = np.array([r[4] for r in held], np.int64)
-            ns = np.array([r[5] for r in held], np.float64)
-            blocks = np.array([r[7] for r in held])
+        def links() -> pa.RecordBatch:
+            ks, cs = np.array([r[3] for r in held], np.int64), np.array([r[4] for r in held], np.int64)
+            ns, blocks = np.array([r[5] for r in held], np.float64), np.array([r[7] for r in held])
             sigs = unpack([r[6] for r in held])
             first, second = np.flatnonzero(blocks == at[1]), np.flatnonzero(blocks == at[2])
-            a_out, b_out = [], []
+            near: list[tuple[int, int, int]] = []
             for p in first:
                 q = second[(cs[second] != cs[p]) & (np.minimum(ns[second], ns[p]) >= np.maximum(ns[second], ns[p]) * (threshold - 1e-9))]
-                if at[1] == at[2]:
-                    q = q[ks[q] < ks[p]]
+                q = q[ks[q] < ks[p]] if at[1] == at[2] else q
                 if len(q):
-                    q = q[equal_counts(sigs[q], sigs[p]) >= least]
-                    a_out += [int(ks[p])] * len(q)
-                    b_out += ks[q].tolist()
-            return pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+                    eq = equal_counts(sigs[q], sigs[p])
+                    near += [(-int(e), int(p), int(x)) for e, x in zip(eq[eq >= least], q[eq >= least], strict=True)]
+            sets: dict[int, np.ndarray] = {}
+            root = {int(c): int(c) for c in cs}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            out: list[tuple[int, int]] = []
+            for _, p, x in sorted(near):
+                u, v = find(int(cs[p])), find(int(cs[x]))
+                if u == v:
+                    continue
+                for i in (p, x):
+                    if i not in sets:
+                        sets[i] = to_set(held[i][8])
+                common = len(np.intersect1d(sets[p], sets[x], assume_unique=True))
+                if 100 * common >= percent * (len(sets[p]) + len(sets[x]) - common):
+                    root[max(u, v)] = min(u, v)
+                    out.append((int(ks[p]), int(ks[x])))
+            return pa.RecordBatch.from_pydict({"a": pa.array([max(o) for o in out], pa.int64()), "b": pa.array([min(o) for o in out], pa.int64())})
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "i", "j", "k", "c", "n_shingles", "sig", "block")), strict=True):
-                if r[:3] != at:
-                    if held:
-                        yield pairs()
-                    held, at = [], r[:3]
-                held.append(r)
+            for start in range(0, b.num_rows, 500):
+                x = b.slice(start, 500)
+                for r in zip(*(x.column(c).to_pylist() for c in ("g", "i", "j", "k", "c", "n_shingles", "sig", "block", "t")), strict=True):
+                    if r[:3] != at:
+                        if held:
+                            yield links()
+                        held, at = [], r[:3]
+                    held.append(r)
         if held:
-            yield pairs()
+            yield links()
 
-    found = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "k", "c", "n_shingles", "sig", "block").mapInArrow(run, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,13 +298,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     links = confirmed(pairs, src, percent, width)
     comp = checkpointed(components(links))
 
-    # buckets of more than one component: links across them
-    placed = mates.join(comp, "k", "left").select("bucket", "k", F.coalesce("c", "k").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("bucket")
-    members = placed.join(mixed, "bucket", "left_semi").join(reps.select("k", "n_shingles", "sig"), "k")
-    more = checkpointed(across(members, threshold).join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        more = confirmed(more, src, percent, width)
+    # groups of more than one component: links across them
+    placed = mates.select(F.col("b").alias("g"), "k").distinct().join(comp, "k", "left").select("g", "k", F.coalesce("c", "k").alias("c"))
+    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("g")
+    members = checkpointed(placed.join(mixed, "g", "left_semi"))
+    if not members.isEmpty():
+        path = texts_of(src, members.select("k"))
+        spark = docs.sparkSession
+        more = checkpointed(across(members.join(reps.select("k", "n_shingles", "sig"), "k").join(spark.read.parquet(path), "k"), threshold, percent, width))
+        drop_path(spark, path)
         joined = more.join(comp.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(comp.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
         between = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
         comp = checkpointed(components(between.unionByName(comp.select(F.col("k").alias("a"), F.col("c").alias("b")))))
