@@ -154,13 +154,10 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> str:
     return path
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, salts: int = 64) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, salts: int = 64) -> DataFrame:
     """Pairs (a, b) whose full sets meet the threshold. Each pair's task gets b's text once for up to a block of a's.
 
     Pairs of one b are dealt over salts, and its text goes to the salts that its pairs are in."""
-    spark = pairs.sparkSession
-    path = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("k")))
-    texts = spark.read.parquet(path)
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
     left = dealt.join(texts.select(F.col("k").alias("a"), F.col("t").alias("t")), "a").select("b", "salt", "a", "t")
     right = dealt.select("b", "salt").distinct().join(texts.select(F.col("k").alias("b"), F.col("t").alias("t")), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "t")
@@ -185,9 +182,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, salts
                         found[1].append(b)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
-    found = checkpointed(rows.mapInArrow(run, "a long, b long"))
-    drop_path(spark, path)
-    return found
+    return checkpointed(rows.mapInArrow(run, "a long, b long"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -286,7 +281,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     signed = checkpointed(signatures(src, width))
     # one row per key, then one class per set; rows without a set stand alone
     of = signed.where("k is not null").groupBy("k").agg(F.min_by(F.struct("digest", "n_shingles"), "th").alias("x")).select("k", "x.*").where("digest is not null")
-    classes = checkpointed(of.join(of.groupBy("digest", "n_shingles").agg(F.min("k").alias("rep")), ["digest", "n_shingles"]).select("k", "digest", "n_shingles", "rep"))
+    of = checkpointed(of)
+    # two plain tables, so that Spark can split the join where one set has very many copies
+    firsts = checkpointed(of.groupBy("digest", "n_shingles").agg(F.min("k").alias("rep")))
+    classes = checkpointed(of.join(firsts, ["digest", "n_shingles"]).select("k", "digest", "n_shingles", "rep"))
     chosen = classes.where("k = rep").select("k", "digest", "n_shingles")
     reps = checkpointed(signed.join(chosen, ["k", "digest", "n_shingles"]).dropDuplicates(["k"]).select("k", "n_shingles", "sig", "bands"))
 
@@ -295,7 +293,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     mates = checkpointed(buckets.join(heads.select("bucket", "b"), "bucket"))
     stars = mates.where("k <> b").select(F.col("k").alias("a"), "b").distinct()
     pairs = checkpointed(estimated(stars, reps, threshold))
-    links = confirmed(pairs, src, percent, width)
+    # texts of all that share a bucket, once for both confirmations
+    path = texts_of(src, mates.select("k"))
+    texts = docs.sparkSession.read.parquet(path)
+    links = confirmed(pairs, texts, percent, width)
     comp = checkpointed(components(links))
 
     # groups of more than one component: links across them
@@ -303,14 +304,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("g")
     members = checkpointed(placed.join(mixed, "g", "left_semi"))
     if not members.isEmpty():
-        path = texts_of(src, members.select("k"))
-        spark = docs.sparkSession
-        more = checkpointed(across(members.join(reps.select("k", "n_shingles", "sig"), "k").join(spark.read.parquet(path), "k"), threshold, percent, width))
-        drop_path(spark, path)
+        more = checkpointed(across(members.join(reps.select("k", "n_shingles", "sig"), "k").join(texts, "k"), threshold, percent, width))
         joined = more.join(comp.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(comp.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
         between = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
         comp = checkpointed(components(between.unionByName(comp.select(F.col("k").alias("a"), F.col("c").alias("b")))))
 
+    drop_path(docs.sparkSession, path)
     whole = classes.join(comp.select(F.col("k").alias("rep"), "c"), "rep", "left").select("k", F.coalesce("c", "rep").alias("component_id"))
     out = signed.select("k", "n_shingles").join(whole, "k", "left").select("k", "n_shingles", F.coalesce("component_id", "k").alias("component_id"))
     return out.select(F.col("k").alias(key), "n_shingles", "component_id", (F.col("k") == F.col("component_id")).alias("kept"))
