@@ -8,7 +8,7 @@
    becomes a lattice: each sign stands for the letters that it may hide or for nothing, each
    repeated letter for itself or for nothing. A Viterbi search under the language model picks the
    likeliest letters. Single letters in a row of three or more words (`s t u p i d`) are joined first.
-3. Classifier: features are restored words and their beginnings of 4 and 5 letters. From labelled
+3. Classifier: features are restored words and their beginnings of 4 to 7 letters. From labelled
    documents, features that stand in toxic documents almost only, and in enough of them that
    aren't near copies of each other, make a lexicon; a logistic model over a document's
    count and share of lexicon words gives the score.
@@ -23,6 +23,7 @@ share of toxic labels (0 without labels). Empty table: empty result. Extra colum
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 #: Letters of the language model; 0 is the word edge and every other character.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßšž"
@@ -151,7 +152,7 @@ class Restorer:
 
 
 def stems(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}~" for n in (4, 5) if len(word) > n)]
+    return [word, *(f"{word[:n]}~" for n in (4, 5, 6, 7) if len(word) > n)]
 
 
 def without_copies(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
@@ -170,24 +171,27 @@ def without_copies(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], i
     return out
 
 
-def learn_lexicon(docs: list[tuple[list[str], int]], precision: float = 0.95, least: int = 3, share: float = 0.004) -> set[str]:
-    """Features of toxic documents (almost) only; docs are (restored distinct words, label).
+def learn_lexicon(docs: list[tuple[list[str], int]], precision: float = 0.95, false_features: float = 0.1) -> dict[str, float]:
+    """Features of toxic documents (almost) only, with a weight; docs are (restored distinct words, label).
 
-    A feature must stand in `least` toxic documents, and `share` of them, that aren't copies of each other."""
+    A feature has its full weight of 1 if so many toxic documents that aren't copies of each other hold it that, of all
+    features that tell nothing, at most `false_features` are expected to pass; down to half of that evidence it has a part."""
     toxic, clean = Counter(), Counter()
     docs = without_copies(docs)
     n_toxic = sum(y for _, y in docs)
     n_clean = len(docs) - n_toxic
     if not n_toxic or not n_clean:
-        return set()
+        return {}
     for words, y in docs:
         (toxic if y else clean).update({x for w in words if len(w) >= 3 for x in stems(w)})
-    need, ratio = max(least, int(share * n_toxic)), n_clean / n_toxic
-    return {f for f, c in toxic.items() if c >= need and c * ratio / (c * ratio + clean[f] + 0.5) >= precision}
+    ratio, surprise = n_clean / n_toxic, np.log(len(docs) / n_toxic)
+    need = np.log(len(toxic.keys() | clean.keys()) / false_features)
+    evidence = {f: (c * surprise - math.log(math.comb(c + clean[f], clean[f]))) / need for f, c in toxic.items() if c * ratio / (c * ratio + clean[f] + 0.5) >= precision}
+    return {f: min(1.0, e) for f, e in evidence.items() if e >= 0.5}
 
 
-def hit_words(words: list[str], lexicon: set[str]) -> int:
-    return sum(any(x in lexicon for x in stems(w)) for w in words)
+def hit_words(words: list[str], lexicon: dict[str, float]) -> float:
+    return sum(max(lexicon.get(x, 0.0) for x in stems(w)) for w in words)
 
 
 def doc_features(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -210,7 +214,7 @@ def crc_mod(key, n: int = 5):
 
 
 def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns and rows of `docs` and, behind them, _score and _hits (lexicon words). No shuffle of documents.
+    """All columns and rows of `docs` and, behind them, _score and _hits (weight of its lexicon words). No shuffle of documents.
 
     Labels of held-out documents (crc32 of the key modulo 5 is 0) are not used."""
     src = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
@@ -247,7 +251,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
     def scored():
         r, lex, memo = Restorer(channel.value), lexicon, {}
 
-        def of(texts: list[str | None]) -> tuple[list[int], list[int]]:
+        def of(texts: list[str | None]) -> tuple[list[float], list[int]]:
             hits, n = [], []
             for t in texts:
                 words = r(t or "")
@@ -267,15 +271,15 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
         return of
 
     # the few numbers of the document model are fitted on the same labelled sample
-    fit_on = src.join(F.broadcast(known), "k").select(F.col("y").alias("_y"), F.col("t").alias("_t")).mapInArrow(_annotator(scored, "_t"), "_y int, _t string, _hits long, _n long").select("_y", "_hits", "_n").distinct().collect()
+    fit_on = src.join(F.broadcast(known), "k").select(F.col("y").alias("_y"), F.col("t").alias("_t")).mapInArrow(_annotator(scored, "_t"), "_y int, _t string, _hits double, _n long").select("_y", "_hits", "_n").distinct().collect()
     y = np.array([f["_y"] for f in fit_on], float)
     if len(set(y)) == 2 and lexicon:
         w = fit_logistic(doc_features(np.array([f["_hits"] for f in fit_on], float), np.array([f["_n"] for f in fit_on], float)), y)
     else:
         w = np.array([np.log((base + 1e-6) / (1 - base + 1e-6)), 0, 0, 0])
     share = F.col("_hits") / F.greatest(F.col("_n"), F.lit(1))
-    z = F.lit(float(w[0])) + F.least(F.col("_hits"), F.lit(1)) * float(w[1]) + F.log1p(F.col("_hits").cast("double")) * float(w[2]) + F.log1p(share * 1000) * float(w[3])
-    schema = StructType([*docs.schema.fields, StructField("_hits", LongType()), StructField("_n", LongType())])
+    z = F.lit(float(w[0])) + F.least(F.col("_hits"), F.lit(1.0)) * float(w[1]) + F.log1p(F.col("_hits").cast("double")) * float(w[2]) + F.log1p(share * 1000) * float(w[3])
+    schema = StructType([*docs.schema.fields, StructField("_hits", DoubleType()), StructField("_n", LongType())])
     return docs.mapInArrow(_annotator(scored, text), schema).withColumn("_score", F.lit(1.0) / (F.exp(-z) + 1)).drop("_n")
 
 
@@ -288,7 +292,7 @@ def _annotator(count, text: str):
             for i in range(0, b.num_rows, 500):
                 x = b.slice(i, 500)
                 hits, n = of(x.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(hits, pa.int64()), pa.array(n, pa.int64())], names=[*x.schema.names, "_hits", "_n"])
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(hits, pa.float64()), pa.array(n, pa.int64())], names=[*x.schema.names, "_hits", "_n"])
 
     return run
 
