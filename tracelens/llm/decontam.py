@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the benchmark's words (lower case, without punctuation around them). Their document
+1. Terms are the benchmark's words (runs of letters and digits, lower case). Their document
    frequencies are counted over all documents; terms of more than `COMMON` of them are stop words.
 2. TF-IDF passages of the documents (`FIT` strides of `STRIDE` words) in `DIMS` signed hash
    dimensions go through a single-pass randomised SVD: each task sums A'(A Omega) over its
@@ -11,7 +11,7 @@
    either side. A share of `SURE` of the item's words, or of `LCS` of its words and of its terms alone, is a copy; a share of `PARA` is a
    paraphrase if the window also holds the item's answer: the last `ANSWER` terms of its last sentence, in order.
 
-Benchmarks are read in blocks of `BLOCK_ITEMS` items (bounded texts on each executor); documents
+Items of over `PART` words are looked for in parts, and are found if a part is. Benchmarks are read in blocks of `BLOCK_ITEMS` items (bounded texts on each executor); documents
 are read once for a block and step. What tasks send is DIMS * RANK numbers and one count a term.
 
 Nulls and empty texts on either side match nothing. Items with no term but stop words are compared
@@ -23,52 +23,98 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRIDE, FIT, DIMS, RANK = 24, 4, 1024, 64
-COMMON, COSINE, SURE, LCS, PARA, ANSWER = 0.1, 0.42, 0.8, 0.7, 0.5, 3
-BLOCK_ITEMS, ROWS, MEMO = 4096, 400, 300_000
-_EDGES = ".,;:!?\"'()[]{}<>*#%&$|-_…«»„“”’"
+STRIDE, FIT, DIMS, RANK = 24, 4, 1024, 96
+COMMON, COSINE, SURE, LCS, PARA, ANSWER, FEW = 0.1, 0.45, 0.8, 0.7, 0.5, 3, 6
+BLOCK_ITEMS, ROWS, SLICE_BYTES, PART = 4096, 400, 1 << 21, 64
+_QUOTES = dict.fromkeys("«»„“”’‘‚–—…¿¡", " ")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def tokens(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, _ODD)), np.cumprod(np.full(n, _INVERSE))
 
 
-def bare(word: str) -> str:
-    return word.strip(_EDGES)
+class Words:
+    """The words of some texts, lower-cased, as arrays: runs of letters and digits with their text, place, bytes and hash.
 
+    A word's hash is the sum of its bytes times powers of an odd number modulo 2**64, from running sums, so no word is
+    touched one by one. Hashes only find terms; matches are confirmed on the words themselves."""
 
-class Terms(dict):
-    """Word -> term number, -1 for words that are none; words seen are remembered while there is room."""
-
-    def __init__(self, vocab: dict[str, int]):
-        super().__init__()
-        self.vocab = vocab
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        t = self[word] = self.vocab.get(bare(word), -1)
-        return t
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def __init__(self, texts: list[str | None]):
+        raw = []
+        for t in texts:
+            t = (t or "").lower()
+            if not t.isascii():
+                for q in _QUOTES:
+                    if q in t:
+                        t = t.replace(q, " ")
+            raw.append(t.encode("utf-8", "surrogatepass"))
+        self.bytes = b" ".join([*raw, b""])
+        data = np.frombuffer(self.bytes, np.uint8)
+        inside = _IN_WORD[data]
+        edge = np.flatnonzero(np.diff(inside, prepend=False))
+        self.start, self.end = edge[::2], edge[1::2]
+        up, down = _powers(1 << max(16, len(data).bit_length()))
+        with np.errstate(over="ignore"):
+            run = np.cumsum(data * up[: len(data)])
+            before = np.where(self.start > 0, run[np.maximum(self.start, 1) - 1], np.uint64(0))
+            self.hash = (run[self.end - 1] - before) * down[self.start]
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        self.doc = np.searchsorted(ends, self.start, side="right")
+        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))  # of each text, then the count of all
+        self.place = np.arange(len(self.doc)) - self.first[self.doc]
+
+    def of(self, lo: int, hi: int) -> list[bytes]:
+        return [self.bytes[a:b] for a, b in zip(self.start[lo:hi].tolist(), self.end[lo:hi].tolist(), strict=True)]
+
+
+def tokens(text: str | None) -> list[bytes]:
+    w = Words([text])
+    return w.of(0, len(w.doc))
+
+
+class Terms:
+    """Term number of words by hash, -1 for words that are none."""
+
+    def __init__(self, words: list[bytes]):
+        hashes = Words([b" ".join(words).decode("utf-8", "surrogatepass")]).hash if words else np.empty(0, np.uint64)
+        order = np.argsort(hashes)
+        self.sorted, self.number = hashes[order], order
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def of(self, w: Words) -> np.ndarray:
+        out = np.full(len(w.hash), -1, np.int64)
+        maybe = np.flatnonzero(self.seen[(w.hash >> np.uint64(44)).astype(np.int64)])
+        if len(maybe) and len(self.sorted):
+            h = w.hash[maybe]
+            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            hit = self.sorted[at] == h
+            out[maybe[hit]] = self.number[at[hit]]
+        return out
 
 
 class Model:
     """What the scan needs of a block of items: terms, their weights, the projection, the items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, [bare(w) or w for w in tokens(t)]) for i, t in items]
-        self.items = [(i, w) for i, w in self.items if w]
+        # long items are looked for in even parts of at most PART words
+        self.items = [(i, list(map(bytes, part))) for i, t in items for w in [tokens(t)] if w for part in np.array_split(np.array(w, object), -(-len(w) // PART))]
         self.vocab = {w: n for n, w in enumerate(sorted({x for _, ws in self.items for x in ws}))}
         rng = np.random.Generator(np.random.PCG64(7))
         n = len(self.vocab)
+        self.lookup = Terms(list(self.vocab))
         self.bucket, self.sign = rng.integers(0, DIMS, n), rng.choice([-1.0, 1.0], n)
         self.omega = rng.standard_normal((DIMS, RANK)).astype(np.float32)
 
@@ -95,11 +141,19 @@ class Model:
         self.matrix = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         self.rare = [[w for w in ws if self.idf[self.vocab[w]] > 0] for _, ws in self.items]
         self.least = max(1, min([3, *(len(r) for r in self.rare)]))
+        self.member = np.zeros((len(self.items), len(self.vocab) + 1), bool)  # the last column is for words that are no terms
+        for n, (_, ws) in enumerate(self.items):
+            self.member[n, [self.vocab[w] for w in ws]] = True
+        self.need = np.array([PARA * len(ws) for _, ws in self.items])
+        # of items with enough terms, a match has near half of the distinct ones at the least
+        self.rare_member = self.member & np.append(self.idf > 0, False)
+        n_rare = self.rare_member.sum(axis=1)
+        self.need_rare = np.where(n_rare >= FEW, PARA * 0.9 * n_rare, 0)
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
+def lcs_length(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, a machine word's worth of bits at a time."""
-    at: dict[str, int] = {}
+    at: dict[bytes, int] = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -112,17 +166,17 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def answer_of(text: list[str], rare: list[str], original: str) -> list[str]:
+def answer_of(words: list[bytes], rare: list[bytes], original: str) -> list[bytes]:
     """The last ANSWER terms of the last sentence that has a term."""
     keep = set(rare)
     for sentence in reversed(original.replace("\n", ". ").split(". ")):
-        found = [w for w in (bare(x) for x in tokens(sentence)) if w in keep]
+        found = [w for w in tokens(sentence) if w in keep]
         if found:
             return found[-ANSWER:]
-    return text[-ANSWER:]
+    return words[-ANSWER:]
 
 
-def in_order(need: list[str], words: list[str]) -> bool:
+def in_order(need: list[bytes], words: list[bytes]) -> bool:
     it = iter(words)
     return all(w in it for w in need)
 
@@ -143,21 +197,38 @@ def _sum_rows(df: DataFrame, size: int) -> np.ndarray:
     return sum((np.frombuffer(r["z"]) for r in rows), np.zeros(size))
 
 
-def _frequencies(src: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
-    shared = src.sparkSession.sparkContext.broadcast(vocab)
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Batches in slices of at most ROWS rows and about SLICE_BYTES, with their words."""
+    for b in batches:
+        i = 0
+        while i < b.num_rows:
+            n, size = 0, 0
+            texts = []
+            while i + n < b.num_rows and n < ROWS and size < SLICE_BYTES:
+                t = b.column(column)[i + n].as_py()
+                texts.append(t)
+                size += len(t or "")
+                n += 1
+            yield b.slice(i, n), Words(texts)
+            i += n
+
+
+def _frequencies(src: DataFrame, model: Model) -> tuple[np.ndarray, int]:
+    shared, n_terms = src.sparkSession.sparkContext.broadcast(model.lookup), len(model.vocab)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        terms, df = Terms(shared.value), np.zeros(len(shared.value) + 1, np.float64)
-        for b in batches:
-            for t in b.column("t"):
-                x = np.unique(terms.of(list(set(tokens(t.as_py())))))
-                df[x[x >= 0]] += 1
-                df[-1] += 1
+        df = np.zeros(n_terms + 1, np.float64)
+        for x, w in _slices(batches, "t"):
+            t = shared.value.of(w)
+            hit = t >= 0
+            both = np.unique(w.doc[hit] * n_terms + t[hit])
+            df[:-1] += np.bincount(both % n_terms, minlength=n_terms) if n_terms else 0
+            df[-1] += x.num_rows
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "z": pa.array([df.tobytes()], pa.binary())})
 
-    total = _sum_rows(src.select("t").mapInArrow(count, "part int, z binary"), len(vocab) + 1)
+    total = _sum_rows(src.select("t").mapInArrow(count, "part int, z binary"), n_terms + 1)
     return total[:-1], int(total[-1])
 
 
@@ -166,35 +237,19 @@ def _range_finder(src: DataFrame, model) -> np.ndarray:
         from pyspark import TaskContext
 
         m: Model = model.value
-        terms, z = Terms(m.vocab), np.zeros((DIMS, RANK))
-        weight, span, block = m.idf * m.sign, STRIDE * FIT, 512
-        cells, values, used = [], [], 0
-
-        def flush() -> None:
-            nonlocal cells, values, used, z
-            if cells:
-                a = np.bincount(np.concatenate(cells), np.concatenate(values), minlength=used * DIMS).reshape(used, DIMS).astype(np.float32)
+        z, weight, block = np.zeros((DIMS, RANK)), m.idf * m.sign, 512
+        for _, w in _slices(batches, "t"):
+            t = m.lookup.of(w)
+            at = np.flatnonzero(t >= 0)
+            at = at[weight[t[at]] != 0]
+            # passages that hold a term: words of one text and FIT strides
+            passage = w.doc[at] * (1 << 32) + w.place[at] // (STRIDE * FIT)
+            _, row = np.unique(passage, return_inverse=True)
+            term = t[at]
+            for first in range(0, int(row[-1]) + 1 if len(row) else 0, block):
+                lo, hi = np.searchsorted(row, [first, first + block])
+                a = np.bincount((row[lo:hi] - first) * DIMS + m.bucket[term[lo:hi]], weight[term[lo:hi]], minlength=block * DIMS).reshape(block, DIMS).astype(np.float32)
                 z += a.T @ (a @ m.omega)
-            cells, values, used = [], [], 0
-
-        for b in batches:
-            for t in b.column("t"):
-                x = terms.of(tokens(t.as_py()))
-                at = np.flatnonzero(x >= 0)
-                at = at[weight[x[at]] != 0]
-                if len(at):
-                    # passages that hold a term, numbered on from those of earlier texts
-                    _, row = np.unique(at // span, return_inverse=True)
-                    for first in range(0, int(row[-1]) + 1, block):
-                        part = (row >= first) & (row < first + block)
-                        r = row[part] - first
-                        if used + r[-1] + 1 > block:
-                            flush()
-                        k = x[at[part]]
-                        cells.append((r + used) * DIMS + m.bucket[k])
-                        values.append(weight[k])
-                        used += int(r[-1]) + 1
-        flush()
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "z": pa.array([z.tobytes()], pa.binary())})
 
     return _sum_rows(src.select("t").mapInArrow(sketch, "part int, z binary"), DIMS * RANK).reshape(DIMS, RANK)
@@ -204,44 +259,42 @@ class Scanner:
     """Finds the items of a model in texts."""
 
     def __init__(self, model: Model, texts: dict[int, str]):
-        self.m, self.terms = model, Terms(model.vocab)
+        self.m = model
         self.bags = [Counter(ws) for _, ws in model.items]
         self.answers = [answer_of(ws, rare, texts[i]) for (i, ws), rare in zip(model.items, model.rare, strict=True)]
 
-    def check(self, item: int, words: list[str]) -> tuple[float, bool, str] | None:
+    def check(self, item: int, words: list[bytes]) -> tuple[float, bool, str] | None:
         ws, rare = self.m.items[item][1], self.m.rare[item]
         bag = self.bags[item]
-        if sum(map(bag.__contains__, words)) < PARA * len(ws) or sum((bag & Counter(words)).values()) < PARA * len(ws):
+        if sum((bag & Counter(words)).values()) < PARA * len(ws):
             return None
         share = lcs_length(ws, words) / len(ws)
         if share < PARA:
             return None
-        rare_share = lcs_length(rare, [w for w in words if w in self.bags[item]]) / max(1, len(rare))
+        keep = set(rare)
+        rare_share = lcs_length(rare, [w for w in words if w in keep]) / max(1, len(rare))
         answered = in_order(self.answers[item], words)
         if share >= SURE or min(share, rare_share) >= LCS:
             return share, answered, "copy"
         return (share, answered, "paraphrase") if rare_share >= PARA and answered else None
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, float, float, bool, str]]:
-        """(place of the text, item number, cosine, share, answered, kind) of each item found in each text."""
-        m, pad, rows, bins, ids, base = self.m, FIT, [], [], [], 0
-        for t in texts:
-            words = tokens(t)
-            x = self.terms.of(words)
-            at = np.flatnonzero(x >= 0)
-            at = at[m.idf[x[at]] > 0]
-            rows.append((words, base))
-            bins.append(base + at // STRIDE)
-            ids.append(x[at])
-            base += -(-len(words) // STRIDE) + pad
-        where, which = np.concatenate(bins), np.concatenate(ids)
-        if not len(where) or not len(m.items):
+    def __call__(self, w: Words) -> list[tuple[int, int, float, float, bool, str]]:
+        """(place of the text, item, cosine, share, answered, kind) of each item found in each text."""
+        m, pad = self.m, FIT
+        terms = m.lookup.of(w)
+        at = np.flatnonzero(terms >= 0)
+        at = at[m.idf[terms[at]] > 0]
+        if not len(at) or not m.items:
             return []
-        strides, count = np.zeros((base + pad, RANK), np.float32), np.bincount(where, minlength=base + pad)
+        # strides of all texts behind each other, with some empty ones between texts
+        n_strides = -(-np.diff(w.first) // STRIDE) + pad
+        base = np.cumsum(n_strides) - n_strides
+        where, total = base[w.doc[at]] + w.place[at] // STRIDE, int(n_strides.sum()) + pad
+        strides, count = np.zeros((total, RANK), np.float32), np.bincount(where, minlength=total)
         starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        strides[where[starts]] = np.add.reduceat(m.terms[which], starts, axis=0)
-        first_of = np.array([b for _, b in rows])
+        strides[where[starts]] = np.add.reduceat(m.terms[terms[at]], starts, axis=0)
         found: dict[tuple[int, int], tuple] = {}
+        present = np.zeros(len(m.vocab) + 1, bool)
         size = 1
         while size <= FIT:
             live = np.flatnonzero(count >= m.least)
@@ -249,21 +302,39 @@ class Scanner:
                 part = live[i : i + 8192]
                 norm = np.linalg.norm(strides[part], axis=1)
                 cos = strides[part] @ m.matrix.T / np.maximum(norm, 1e-12)[:, None]
-                for p, item in zip(*np.nonzero(cos >= COSINE), strict=True):
-                    doc = int(np.searchsorted(first_of, part[p], side="right")) - 1
-                    key = (doc, int(item))
+                p, item = np.nonzero(cos >= COSINE)
+                some = count[part[p]] >= m.need_rare[item]
+                p, item = p[some], item[some]
+                doc = np.searchsorted(base, part[p], side="right") - 1
+                s = part[p] - base[doc]
+                lo = w.first[doc] + np.maximum(0, (s - 1) * STRIDE)
+                hi = np.minimum(w.first[doc + 1], w.first[doc] + (s + size + 1) * STRIDE)
+                for n in range(len(p)):
+                    key = (int(doc[n]), int(item[n]))
                     if key in found and found[key][3] == "copy":
                         continue
-                    words, b = rows[doc]
-                    lo = max(0, (int(part[p]) - b - 1) * STRIDE)
-                    hit = self.check(int(item), [bare(w) or w for w in words[lo : (int(part[p]) - b + size + 1) * STRIDE]])
+                    # no sense in words where too few of the window's are the item's
+                    ids = terms[lo[n] : hi[n]]
+                    if m.member[item[n], ids].sum() < m.need[item[n]]:
+                        continue
+                    present[ids] = True
+                    enough = np.count_nonzero(present & m.rare_member[item[n]]) >= m.need_rare[item[n]]
+                    present[ids] = False
+                    if not enough:
+                        continue
+                    hit = self.check(int(item[n]), w.of(lo[n], hi[n]))
                     if hit and (key not in found or hit[0] > found[key][1]):
-                        found[key] = (float(cos[p, item]), *hit)
+                        found[key] = (float(cos[p[n], item[n]]), *hit)
             if size < FIT:
                 strides[:-size] += strides[size:].copy()
                 count[:-size] += count[size:].copy()
             size *= 2
-        return [(d, i, *v) for (d, i), v in sorted(found.items())]
+        best: dict[tuple[int, int], tuple] = {}
+        for (d, n), v in sorted(found.items()):
+            key = (d, m.items[n][0])
+            if key not in best or v[1] > best[key][1]:
+                best[key] = v
+        return [(d, i, *v) for (d, i), v in best.items()]
 
 
 def _models(docs: DataFrame, bench: DataFrame, text: str, item_key: str, item_text: str) -> Iterator:
@@ -274,7 +345,7 @@ def _models(docs: DataFrame, bench: DataFrame, text: str, item_key: str, item_te
 
     def fitted(block: list[tuple[int, str]]):
         model = Model(list(enumerate(t for _, t in block)))
-        model.weigh(*_frequencies(src, model.vocab))
+        model.weigh(*_frequencies(src, model))
         model.project(_range_finder(src, spark.sparkContext.broadcast(model)))
         return spark.sparkContext.broadcast((model, {n: t for n, (_, t) in enumerate(block)}, [i for i, _ in block]))
 
@@ -297,16 +368,14 @@ def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: s
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, texts, names = shared.value
             s = Scanner(m, texts)
-            for b in batches:
-                for i in range(0, b.num_rows, ROWS):
-                    x = b.slice(i, ROWS)
-                    hits = s(x.column("t").to_pylist())
-                    if hits:
-                        d, item, cos, share, answered, how = zip(*hits, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [x.column("k").take(pa.array(d)), pa.array([names[m.items[j][0]] for j in item], pa.int64()), pa.array(cos, pa.float64()), pa.array(share, pa.float64()), pa.array(answered, pa.bool_()), pa.array(how, pa.string())],
-                            names=["k", "item_id", "cosine", "lcs_share", "answered", "kind"],
-                        )
+            for x, w in _slices(batches, "t"):
+                hits = s(w)
+                if hits:
+                    d, item, cos, share, answered, how = zip(*hits, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [x.column("k").take(pa.array(d)), pa.array([names[j] for j in item], pa.int64()), pa.array(cos, pa.float64()), pa.array(share, pa.float64()), pa.array(answered, pa.bool_()), pa.array(how, pa.string())],
+                        names=["k", "item_id", "cosine", "lcs_share", "answered", "kind"],
+                    )
 
         return find
 
@@ -323,12 +392,10 @@ def decontaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_k
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, texts, _ = shared.value
             s = Scanner(m, texts)
-            for b in batches:
-                for i in range(0, b.num_rows, ROWS):
-                    x = b.slice(i, ROWS)
-                    keep = np.ones(x.num_rows, bool)
-                    keep[[h[0] for h in s(x.column(text).to_pylist())]] = False
-                    yield x.filter(pa.array(keep))
+            for x, w in _slices(batches, text):
+                keep = np.ones(x.num_rows, bool)
+                keep[[h[0] for h in s(w)]] = False
+                yield x.filter(pa.array(keep))
 
         return clean
 
