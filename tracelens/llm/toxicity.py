@@ -14,7 +14,7 @@
    count and share of lexicon words gives the score.
 
 The labelled rows used are a bounded sample: the `sample` rows with the smallest hash of
-their key (documented bound, default 8,000). Counts of the language model cover all data.
+their key (documented bound, default 6,000). Counts of the language model cover all data.
 
 Nulls and empty texts: no word, scored like any text without lexicon words. Very long texts are
 scored whole. Repeated rows: one result each. No label at all, or one kind only: score is the
@@ -41,7 +41,7 @@ SIZE = 64
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Costs in nats of a sign read as a letter, of a sign or repeated letter dropped, of a repeated letter kept.
 AS_LETTER, DROP_SIGN, DROP_REPEAT, KEEP_REPEAT = 0.5, 1.5, 0.3, 1.0
-BEAM, LONGEST, MEMO, SAMPLE = 24, 40, 500_000, 8_000
+BEAM, LONGEST, MEMO, SAMPLE = 24, 40, 500_000, 6_000
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _RUN = re.compile(r"(.)\1\1")
 _EDGE = re.compile(r"^[^\w@$!|+€£¡*]+|[^\w@$!|+€£¡*]+$")
@@ -182,10 +182,17 @@ def learn_lexicon(docs: list[tuple[list[str], int]], precision: float = 0.95, fa
     n_clean = len(docs) - n_toxic
     if not n_toxic or not n_clean:
         return {}
+    features = lambda words: {x for w in words if len(w) >= 3 for x in stems(w)}
     for words, y in docs:
-        (toxic if y else clean).update({x for w in words if len(w) >= 3 for x in stems(w)})
+        if y:
+            toxic.update(features(words))
     ratio, surprise = n_clean / n_toxic, np.log(len(docs) / n_toxic)
-    need = np.log(len(toxic.keys() | clean.keys()) / false_features)
+    need = np.log(max(1, len(toxic)) / false_features)
+    # only features that could have half the evidence are counted in clean documents, which hold most features
+    toxic = Counter({f: c for f, c in toxic.items() if c * surprise >= 0.5 * need})
+    for words, y in docs:
+        if not y:
+            clean.update(x for x in features(words) if x in toxic)
     evidence = {f: (c * surprise - math.log(math.comb(c + clean[f], clean[f]))) / need for f, c in toxic.items() if c * ratio / (c * ratio + clean[f] + 0.5) >= precision}
     return {f: min(1.0, e) for f, e in evidence.items() if e >= 0.5}
 
