@@ -1,5 +1,7 @@
 """Queries see texts to their end: plain versions over a made-up folder of tables."""
 
+import re
+
 import pytest
 
 from tracelens.functions import prompts
@@ -44,3 +46,19 @@ def test_teacher_rows_hold_whole_texts(spark, folder):
     assert {i: r.prompt for i, r in by_id(queries.QUERIES["prompt_fill"](spark, folder)).items()} == {i: f"Q: {t} [en] {t}" for i, t in enumerate(TEXTS)}
     report = queries.QUERIES["final_report"](spark, folder).first()
     assert report.mean_chars == pytest.approx(sum(map(len, full.values())) / len(full), abs=1e-6)
+
+
+def light(t):
+    t = re.sub(r"[$,\\]", "", t.strip().lower()).strip()
+    words = t.split()
+    if len(words) <= 10:
+        return t
+    bare = [w.strip(".,!?;:()") for w in reversed(words)]
+    return next((w for w in bare if re.sub(r"[./-]", "", w).isdigit()), words[-1])
+
+
+def test_light_form_is_of_the_whole_text(spark, folder):
+    got = by_id(queries.QUERIES["answer_norm_light"](spark, folder))
+    assert {i: r.form for i, r in got.items()} == {i: light(t) for i, t in enumerate(TEXTS)}
+    assert (got[7].form, got[1].form) == ("1234.50", "end")
+

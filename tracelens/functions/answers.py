@@ -97,7 +97,8 @@ def light_form(c: Column) -> Column:
     """[P8] The light normal form: lower case without $ , and backslash; of over ten words the last number, else the last word."""
     t = strip(F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), r"[$,\\]", ""))
     words = F.filter(F.split(t, rf"(?U){SPACE}+"), lambda w: w != "")
-    bare = F.transform(F.reverse(words), lambda w: F.regexp_replace(w, r"^[.,!?;:()]+|[.,!?;:()]+$", ""))
+    digits = F.filter(words, lambda w: w.rlike(r"(?U)\d"))  # only these can be numbers
+    bare = F.transform(F.reverse(digits), lambda w: F.regexp_replace(w, r"^[.,!?;:()]+|[.,!?;:()]+$", ""))
     numbers = F.filter(bare, lambda w: F.regexp_replace(w, r"[./-]", "").rlike(r"(?U)^\d+$"))
     last = F.coalesce(F.try_element_at(numbers, F.lit(1)), F.try_element_at(words, F.lit(-1)), F.lit(""))
     return F.when(F.size(words) > 10, last).otherwise(t)
