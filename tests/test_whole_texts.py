@@ -62,3 +62,8 @@ def test_light_form_is_of_the_whole_text(spark, folder):
     assert {i: r.form for i, r in got.items()} == {i: light(t) for i, t in enumerate(TEXTS)}
     assert (got[7].form, got[1].form) == ("1234.50", "end")
 
+
+def test_question_key_is_of_the_whole_text(spark, folder):
+    got = by_id(queries.QUERIES["clean_text"](spark, folder))
+    assert {i: r.question_norm for i, r in got.items()} == {i: " ".join(t.split()).lower() for i, t in enumerate(TEXTS)}
+    assert got[0].question_norm != got[1].question_norm

@@ -346,7 +346,7 @@ def answer_norm_gold(spark, sf):
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\r\\f]+(\\n|$)', '\\1', 'g'), E' \\t\\n\\r') AS clean, lower(trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g'))) AS question_norm FROM documents")
 def clean_text(spark, sf):
-    return views.read(spark, sf, "documents").select("doc_id", text.clean_whitespace(F.col("text")).alias("clean"), text.question_key(F.substring("text", 1, 80)).alias("question_norm"))
+    return views.read(spark, sf, "documents").select("doc_id", text.clean_whitespace(F.col("text")).alias("clean"), text.question_key(F.col("text")).alias("question_norm"))
 
 
 @query("""WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?[.!?]+(?:\\s+|\\z)|(?s).+\\z') AS p FROM documents), y AS (SELECT doc_id, text, [s FOR s IN p IF trim(s, E' \\t\\n\\r') <> ''] AS k FROM x)
