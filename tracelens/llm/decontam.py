@@ -5,10 +5,10 @@
 2. TF-IDF passages of the documents (`FIT` strides of `STRIDE` words) in `DIMS` signed hash
    dimensions go through a single-pass randomised SVD: each task sums A'(A Omega) over its
    passages, sums of tasks are added up in a tree, and the driver factors the DIMS * RANK result.
-3. Candidates: windows of 1, 2 and 4 strides, at every stride of every document, whose projection
-   has a cosine of at least `COSINE` with an item's.
-4. Check: the longest common subsequence of words of the item and the window with a stride on
-   either side. A share of `SURE` of the item's words, or of `LCS` of its words and of its terms alone, is a copy; a share of `PARA` is a
+3. Candidates: at every stride of every document, the window of `FIT` strides with a stride on either side, if it holds
+   as many of an item's terms as step 4 can do with at the least (of all its words, where terms are too few to tell). Nothing
+   that step 4 accepts in it is left out. The cosine given is the best of the projections of 1, 2 and 4 strides there; it decides nothing.
+4. Check: the longest common subsequence of words of the item and the window. A share of `SURE` of the item's words, or of `LCS` of its words and of its terms alone, is a copy; a share of `PARA` is a
    paraphrase if the window also holds the item's answer: the last `ANSWER` terms of its last sentence, in order.
 
 Items of over `PART` words are looked for in parts, and are found if a part is. Benchmarks are read in blocks of `BLOCK_ITEMS` items (bounded texts on each executor); documents
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRIDE, FIT, DIMS, RANK = 24, 4, 1024, 96
-COMMON, COSINE, SURE, LCS, PARA, ANSWER, FEW = 0.1, 0.45, 0.8, 0.7, 0.5, 3, 6
+COMMON, SURE, LCS, PARA, ANSWER = 0.1, 0.8, 0.7, 0.5, 3
 BLOCK_ITEMS, ROWS, SLICE_BYTES, PART = 4096, 400, 1 << 21, 64
 _QUOTES = dict.fromkeys("«»„“”’‘‚–—…¿¡", " ")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -140,15 +140,16 @@ class Model:
         m = np.array(rows, np.float32).reshape(len(self.items), RANK)
         self.matrix = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         self.rare = [[w for w in ws if self.idf[self.vocab[w]] > 0] for _, ws in self.items]
-        self.least = max(1, min([3, *(len(r) for r in self.rare)]))
-        self.member = np.zeros((len(self.items), len(self.vocab) + 1), bool)  # the last column is for words that are no terms
-        for n, (_, ws) in enumerate(self.items):
-            self.member[n, [self.vocab[w] for w in ws]] = True
-        self.need = np.array([PARA * len(ws) for _, ws in self.items])
-        # of items with enough terms, a match has near half of the distinct ones at the least
-        self.rare_member = self.member & np.append(self.idf > 0, False)
-        n_rare = self.rare_member.sum(axis=1)
-        self.need_rare = np.where(n_rare >= FEW, PARA * 0.9 * n_rare, 0)
+        # the terms (or words) of an item by which windows are found, each with its count in the item, and how many a match has at the least
+        posts: list[tuple[int, int, int]] = []
+        self.need = np.zeros(len(self.items))
+        for n, ((_, ws), rare) in enumerate(zip(self.items, self.rare, strict=True)):
+            least = min(PARA * len(rare), len(rare) - (1 - SURE) * len(ws))
+            by, self.need[n] = (rare, least) if least > 1 else (ws, PARA * len(ws))
+            posts += [(self.vocab[w], n, c) for w, c in Counter(by).items()]
+        self.need -= 1e-6  # of rounding
+        of, self.post_item, self.post_count = np.array(sorted(posts), np.int64).reshape(-1, 3).T
+        self.post_first = np.searchsorted(of, np.arange(len(self.vocab) + 1))
 
 
 def lcs_length(a: list[bytes], b: list[bytes]) -> int:
@@ -260,14 +261,22 @@ class Scanner:
 
     def __init__(self, model: Model, texts: dict[int, str]):
         self.m = model
-        self.bags = [Counter(ws) for _, ws in model.items]
+        self.bags = [Counter(model.vocab[x] for x in ws) for _, ws in model.items]
         self.answers = [answer_of(ws, rare, texts[i]) for (i, ws), rare in zip(model.items, model.rare, strict=True)]
 
-    def check(self, item: int, words: list[bytes]) -> tuple[float, bool, str] | None:
+    def cosine(self, item: int, terms: np.ndarray) -> float:
+        """The best cosine of the item and the first 1, 2 or 4 strides of a window's terms."""
+        run = [self.m.terms[terms[: n * STRIDE]].sum(axis=0) for n in (1, 2, FIT)]
+        return max(float(v @ self.m.matrix[item]) / max(float(np.linalg.norm(v)), 1e-12) for v in run)
+
+    def check(self, item: int, terms: np.ndarray, w: Words, lo: int, hi: int) -> tuple[float, bool, str] | None:
         ws, rare = self.m.items[item][1], self.m.rare[item]
+        # no sense in words where too few of the window's are the item's
         bag = self.bags[item]
-        if sum((bag & Counter(words)).values()) < PARA * len(ws):
+        have = Counter(t for t in terms.tolist() if t in bag)
+        if sum(min(c, bag[t]) for t, c in have.items()) < PARA * len(ws):
             return None
+        words = w.of(lo, hi)
         share = lcs_length(ws, words) / len(ws)
         if share < PARA:
             return None
@@ -280,55 +289,44 @@ class Scanner:
 
     def __call__(self, w: Words) -> list[tuple[int, int, float, float, bool, str]]:
         """(place of the text, item, cosine, share, answered, kind) of each item found in each text."""
-        m, pad = self.m, FIT
+        m, pad, width, n_items = self.m, FIT, FIT + 2, len(self.m.items)
         terms = m.lookup.of(w)
         at = np.flatnonzero(terms >= 0)
-        at = at[m.idf[terms[at]] > 0]
-        if not len(at) or not m.items:
+        at = at[np.diff(m.post_first)[terms[at]] > 0]
+        if not len(at) or not n_items:
             return []
-        # strides of all texts behind each other, with some empty ones between texts
-        n_strides = -(-np.diff(w.first) // STRIDE) + pad
-        base = np.cumsum(n_strides) - n_strides
-        where, total = base[w.doc[at]] + w.place[at] // STRIDE, int(n_strides.sum()) + pad
-        strides, count = np.zeros((total, RANK), np.float32), np.bincount(where, minlength=total)
-        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        strides[where[starts]] = np.add.reduceat(m.terms[terms[at]], starts, axis=0)
+        # strides of all texts behind each other, with some empty ones between texts and before the first
+        own = -(-np.diff(w.first) // STRIDE)
+        base = np.cumsum(own + pad) - own
+        # each term once a stride
+        where, term = np.divmod(np.unique((base[w.doc[at]] + w.place[at] // STRIDE) * len(m.vocab) + terms[at]), len(m.vocab))
+        total = int(base[-1] + own[-1])
+        real = np.zeros(total, bool)
+        real[np.repeat(base - np.cumsum(own) + own, own) + np.arange(own.sum())] = True
         found: dict[tuple[int, int], tuple] = {}
-        present = np.zeros(len(m.vocab) + 1, bool)
-        size = 1
-        while size <= FIT:
-            live = np.flatnonzero(count >= m.least)
-            for i in range(0, len(live), 8192):
-                part = live[i : i + 8192]
-                norm = np.linalg.norm(strides[part], axis=1)
-                cos = strides[part] @ m.matrix.T / np.maximum(norm, 1e-12)[:, None]
-                p, item = np.nonzero(cos >= COSINE)
-                some = count[part[p]] >= m.need_rare[item]
-                p, item = p[some], item[some]
-                doc = np.searchsorted(base, part[p], side="right") - 1
-                s = part[p] - base[doc]
-                lo = w.first[doc] + np.maximum(0, (s - 1) * STRIDE)
-                hi = np.minimum(w.first[doc + 1], w.first[doc] + (s + size + 1) * STRIDE)
-                for n in range(len(p)):
-                    key = (int(doc[n]), int(item[n]))
-                    if key in found and found[key][3] == "copy":
-                        continue
-                    # no sense in words where too few of the window's are the item's
-                    ids = terms[lo[n] : hi[n]]
-                    if m.member[item[n], ids].sum() < m.need[item[n]]:
-                        continue
-                    present[ids] = True
-                    enough = np.count_nonzero(present & m.rare_member[item[n]]) >= m.need_rare[item[n]]
-                    present[ids] = False
-                    if not enough:
-                        continue
-                    hit = self.check(int(item[n]), w.of(lo[n], hi[n]))
-                    if hit and (key not in found or hit[0] > found[key][1]):
-                        found[key] = (float(cos[p[n], item[n]]), *hit)
-            if size < FIT:
-                strides[:-size] += strides[size:].copy()
-                count[:-size] += count[size:].copy()
-            size *= 2
+        block = max(64, (1 << 20) // n_items)
+        for first in range(pad, total, block):
+            rows = min(block, total - first)
+            lo, hi = np.searchsorted(where, [first - 1, first + rows + FIT])
+            t = term[lo:hi]
+            size = m.post_first[t + 1] - m.post_first[t]
+            post = np.repeat(m.post_first[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            cell = np.repeat(where[lo:hi] - first + 1, size) * n_items + m.post_item[post]
+            count = np.bincount(cell, m.post_count[post], minlength=(rows + width - 1) * n_items).reshape(-1, n_items)
+            two = count[:-1] + count[1:]
+            p, item = np.nonzero(two[: -(width - 2)] + two[2:-2] + two[width - 2 :] >= m.need)
+            live = real[first + p]
+            p, item = first + p[live], item[live]
+            doc = np.searchsorted(base, p, side="right") - 1
+            s = p - base[doc]
+            los, his = w.first[doc] + np.maximum(0, (s - 1) * STRIDE), np.minimum(w.first[doc + 1], w.first[doc] + (s + FIT + 1) * STRIDE)
+            for n in range(len(p)):
+                key = (int(doc[n]), int(item[n]))
+                if key in found and found[key][3] == "copy":
+                    continue
+                hit = self.check(key[1], terms[los[n] : his[n]], w, int(los[n]), int(his[n]))
+                if hit and (key not in found or hit[0] > found[key][1]):
+                    found[key] = (self.cosine(key[1], terms[w.first[doc[n]] + s[n] * STRIDE : his[n]]), *hit)
         best: dict[tuple[int, int], tuple] = {}
         for (d, n), v in sorted(found.items()):
             key = (d, m.items[n][0])
