@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tracelens.llm import decontam
+from tracelens.llm import decontam, toxicity
 
 
 def fitted(items, texts):
@@ -49,3 +49,16 @@ def test_no_accepted_passage_is_lost():
         want |= {(d, i) for n, (i, _) in enumerate(s.m.items) if accepted(s, n, t)}
     assert {(h[0], h[1]) for h in s(decontam.Words(texts))} == want
     assert len(want) > 250
+
+
+def test_words_are_decoded_whole():
+    vocab = ["worthless", "stupid", "you", "are", "the", "house", "of", "green", "people", "and", "water"]
+    rng = random.Random(2)
+    counts = np.zeros(toxicity.SIZE**3, np.int64)
+    code = [toxicity._CODE.get(c, 0) for c in " ".join(rng.choice(vocab) for _ in range(5000))]
+    np.add.at(counts, [(a * 64 + b) * 64 + c for a, b, c in zip(code, code[1:], code[2:])], 1)
+    r = toxicity.Restorer(toxicity.Channel(counts))
+    read = lambda t: [x for w in r(t) for x in r.readings(w)]
+    assert [r.word(w) for w in ("w0r7h1355", "5.t.u.p.1.d", "st" + "u" * 45 + "pid", "s" + "." * 60 + "tupid", "2024", "3,000.50")] == ["worthless", "stupid", "stupid", "stupid", "2024", "3,000.50"]
+    assert read("y o u s t u p i d") == ["youstupid", "you stupid"] and read("s  t  u  p  i  d") == ["stupid"]
+    assert read("y o u  s t u p i d") == ["you", "stupid"] and read("a s t u p i d 1 2 3")[0].startswith("astupid")

@@ -7,7 +7,9 @@
    among letters, with letters apart (`s.t.u.p.i.d`), or with runs of three or more of a letter
    becomes a lattice: each sign stands for the letters that it may hide or for nothing, each
    repeated letter for itself or for nothing. A Viterbi search under the language model picks the
-   likeliest letters. Single letters in a row of three or more words (`s t u p i d`) are joined first.
+   likeliest letters, in words of any length and whatever their share of signs; only words without a
+   letter (numbers) stay. Single letters in a row of three or more words (`s t u p i d`) are joined first, but not
+   over a gap wider than the others; they are read as one word and, by a search that may put word edges in, as several.
 3. Classifier: features are restored words and their beginnings of 4 to 7 letters. From labelled
    documents, features that stand in toxic documents almost only, and in enough of them that
    aren't near copies of each other, make a lexicon; a logistic model over a document's
@@ -41,11 +43,14 @@ SIZE = 64
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Costs in nats of a sign read as a letter, of a sign or repeated letter dropped, of a repeated letter kept.
 AS_LETTER, DROP_SIGN, DROP_REPEAT, KEEP_REPEAT = 0.5, 1.5, 0.3, 1.0
-BEAM, LONGEST, MEMO, SAMPLE = 24, 40, 500_000, 6_000
+BEAM, MEMO, SAMPLE = 24, 500_000, 6_000
+#: Stands before letters that were apart.
+JOINED = "\ufdd0"
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _RUN = re.compile(r"(.)\1\1")
 _EDGE = re.compile(r"^[^\w@$!|+€£¡*]+|[^\w@$!|+€£¡*]+$")
-_APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_APART = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
+_GAP = re.compile(r"[ \t]+")
 
 
 def _lut() -> np.ndarray:
@@ -91,11 +96,16 @@ class Channel:
         back = np.log((c.sum(axis=0) + 0.5 * (one + 1) / (one.sum() + SIZE)) / (c.sum(axis=(0, 2))[:, None] + 0.5))
         self.cost = -np.log((c + np.exp(back)[None]) / (two[:, :, None] + np.exp(back).sum(axis=1)[None, :, None])).astype(np.float32)
 
-    def restore(self, word: str) -> str:
-        """The likeliest letters of a lower-cased word, by Viterbi over (last two letters)."""
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def restore(self, word: str, edges: bool = False) -> str:
+        """The likeliest letters of a lower-cased word, by Viterbi over (last two letters); with `edges`, of words with a space between."""
+        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         last = ""
-        for ch in word[:LONGEST]:
+        for ch in word:
+            if edges:
+                for (a, b), (cost, path) in list(beam.items()):
+                    total = cost + float(self.cost[a, b, 0])
+                    if b and ((b, 0) not in beam or total < beam[b, 0][0]):
+                        beam[b, 0] = (total, (path, " "))
             arcs: list[tuple[str, float]]
             if ch in _CODE:
                 arcs = [(ch, 0.0)]
@@ -104,18 +114,23 @@ class Channel:
             else:
                 arcs = [(x, AS_LETTER) for x in LEET.get(ch, "")] + [("", DROP_SIGN)]
             last = ch
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in beam.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in beam.items():
                 for x, c in arcs:
                     if x:
                         k = _CODE[x]
-                        state, total, t = (b, k), cost + c + float(self.cost[a, b, k]), text + x
+                        state, total, t = (b, k), cost + c + float(self.cost[a, b, k]), (path, x)
                     else:
-                        state, total, t = (a, b), cost + c, text
+                        state, total, t = (a, b), cost + c, path
                     if state not in new or total < new[state][0]:
                         new[state] = (total, t)
             beam = dict(sorted(new.items(), key=lambda kv: kv[1][0])[:BEAM])
-        return min((cost + float(self.cost[a, b, 0]), t) for (a, b), (cost, t) in beam.items())[1]
+        path = min(((cost + float(self.cost[a, b, 0]), t) for (a, b), (cost, t) in beam.items()), key=lambda x: x[0])[1]
+        out = []
+        while path:
+            path, x = path
+            out.append(x)
+        return "".join(reversed(out)).strip()
 
 
 def is_noisy(w: str) -> bool:
@@ -123,9 +138,9 @@ def is_noisy(w: str) -> bool:
     if _RUN.search(w) and any(c in _CODE for c in w):
         return True
     letters = sum(c in _CODE for c in w)
-    hidden = sum(c in LEET for c in w)
-    other = len(w) - letters - hidden
-    return letters > 0 and (hidden > 0 or other > 0) and 3 <= len(w) <= LONGEST and letters >= hidden + other - 1
+    foreign = sum(c.isalpha() and c not in _CODE for c in w)
+    return 0 < letters < len(w) and len(w) >= 3 and letters >= foreign - 1
+
 
 
 class Restorer:
@@ -143,12 +158,25 @@ class Restorer:
             w = bare
         return self.channel.restore(w) if is_noisy(w) else w
 
+    def readings(self, w: str) -> list[str]:
+        """A word restored; letters that were apart as one word, and as several with spaces between."""
+        if not w.startswith(JOINED):
+            return [self.word(w)]
+        whole = w[1:].lower()
+        return list(dict.fromkeys([self.word(whole), self.channel.restore(whole, edges=True)]))
+
     def __call__(self, text: str) -> list[str]:
         flat = text.replace("\n", " ")
-        words = flat.split(" ")
-        if " " in flat and _APART.search(flat):
-            words = _APART.sub(lambda m: m[0].replace(" ", "") if sum(c.isalpha() for c in m[0]) >= 2 else m[0], flat).split(" ")
-        return words
+        return (_APART.sub(joined, flat) if _APART.search(flat) else flat).split(" ")
+
+
+def joined(m: re.Match) -> str:
+    """Letters apart as a word, or as one for each stretch between gaps wider than the smallest."""
+    if sum(c.isalpha() for c in m[0]) < 2:
+        return m[0]
+    least = min(len(g) for g in _GAP.findall(m[0]))
+    words = re.split(r"[ \t]{%d,}" % (least + 1), m[0])
+    return " ".join(JOINED + _GAP.sub("", w) for w in words)
 
 
 def stems(word: str) -> list[str]:
@@ -244,9 +272,8 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
                         if v is None:
                             if len(memo) > MEMO:
                                 memo.clear()
-                            v = memo[w] = r.word(w)
-                        if len(v) >= 3:
-                            found.add(v[:LONGEST])
+                            v = memo[w] = [x for y in r.readings(w) for x in y.split(" ") if len(x) >= 3]
+                        found.update(v)
                     out.append(" ".join(sorted(found)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), x.column("y")], names=["words", "y"])
 
@@ -269,7 +296,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
                         memo.clear()
                     for w in set(words):
                         if w not in memo:
-                            memo[w] = hit_words([r.word(w)], lex)
+                            memo[w] = max(hit_words(x.split(" "), lex) for x in r.readings(w))
                     h = sum(map(memo.__getitem__, words))
                 hits.append(h)
                 n.append(len(words))
