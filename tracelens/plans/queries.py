@@ -331,7 +331,7 @@ def answer_norm_score(spark, sf):
     return i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", answers.score_form(a).alias("form"))
 
 
-@query("""WITH x AS (SELECT doc_id, string_split_regex(trim(lower(regexp_replace(substr(text, 1, 200), '[$,\\\\]', '', 'g')), E' \\t\\n\\r'), '\\s+') AS w, trim(regexp_replace(lower(trim(substr(text, 1, 200), E' \\t\\n\\r')), '[$,\\\\]', '', 'g'), E' \\t\\n\\r') AS t FROM documents),
+@query("""WITH x AS (SELECT doc_id, string_split_regex(trim(lower(regexp_replace(text, '[$,\\\\]', '', 'g')), E' \\t\\n\\r'), '\\s+') AS w, trim(regexp_replace(lower(trim(text, E' \\t\\n\\r')), '[$,\\\\]', '', 'g'), E' \\t\\n\\r') AS t FROM documents),
 y AS (SELECT *, [v FOR v IN [trim(u, '.,!?;:()') FOR u IN w] IF regexp_full_match(regexp_replace(v, '[./-]', '', 'g'), '[0-9]+')] AS k FROM x)
 SELECT doc_id, CASE WHEN len(w) > 10 THEN coalesce(k[-1], w[-1]) ELSE t END AS form FROM y""")
 def answer_norm_light(spark, sf):
@@ -344,7 +344,7 @@ def answer_norm_gold(spark, sf):
     return views.read(spark, sf, "part").select("p_partkey", answers.gold_form(a, compatibility=False).alias("form"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\r\\f]+(\\n|$)', '\\1', 'g'), E' \\t\\n\\r') AS clean, lower(trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g'))) AS question_norm FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\r\\f]+(\\n|$)', '\\1', 'g'), E' \\t\\n\\r') AS clean, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS question_norm FROM documents")
 def clean_text(spark, sf):
     return views.read(spark, sf, "documents").select("doc_id", text.clean_whitespace(F.col("text")).alias("clean"), text.question_key(F.col("text")).alias("question_norm"))
 
@@ -366,10 +366,11 @@ def chat_render(spark, sf):
     return out.select("conv_id", F.when(own, F.col("t")).otherwise(F.substr("t", F.length(default) + 1)).alias("body"), F.when(own, "Sown").otherwise("Sdefault").alias("head"))
 
 
-_SFT_TEXT = literal(prompts.SFT_HEAD + "Question:\n") + " || question || " + literal("\n\nCandidate reasoning:\n") + " || candidate_solution || " + literal("\n\nCandidate final answer: None\n\n" + prompts.SFT_TASK)
+_SFT_TEXT = literal(prompts.SFT_HEAD + "Question:\n") + " || question || " + literal("\n\nCandidate reasoning:\n") + " || substr(candidate_solution, 1, 3000) || " + literal("\n\nCandidate final answer: None\n\n" + prompts.SFT_TASK)
 
 
-@query(f"WITH {H} SELECT row_id, {_SFT_TEXT} AS prompt, '<final_verdict>' || CASE WHEN gold THEN 'Yes' ELSE 'No' END || '</final_verdict>' AS completion, CASE WHEN gold THEN 'Yes' ELSE 'No' END AS label, 'Task: Decide whether the candidate reasoning and final answer are correct.' AS answer_line FROM h".replace("'Task: Decide whether the candidate reasoning and final answer are correct.' AS answer_line", "'None' AS answer_line"))
+@query(f"""WITH {H} SELECT row_id, {_SFT_TEXT} AS prompt, '<final_verdict>' || CASE WHEN gold THEN 'Yes' ELSE 'No' END || '</final_verdict>' AS completion,
+CASE WHEN gold THEN 'Yes' ELSE 'No' END AS label, 'None' AS answer_line FROM h""")
 def sft_examples(spark, sf):
     x = prompts.sft_example(F.col("question"), F.col("candidate_solution"), F.lit(None).cast("string"), F.lit(None).cast("string"), text.bool_from_any(F.col("candidate_is_correct")))
     return views.teacher(spark, sf).select("row_id", x.alias("x")).select("row_id", "x.*", verdicts.answer_in_prompt(F.col("x.prompt")).alias("answer_line"))

@@ -77,7 +77,7 @@ def literal(text: str) -> str:
 
 
 H = (
-    "h AS (SELECT 'row-' || doc_id AS row_id, doc_id AS pos, CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status, substr(text, 1, 90) || (["
+    "h AS (SELECT 'row-' || doc_id AS row_id, doc_id AS pos, CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status, text || (["
     + ", ".join(literal(t) for t in TAILS)
-    + f"])[(doc_id % {len(TAILS)} + 1)::INT] AS answer_text, quality = 1 AS gold, substr(text, 1, 40) AS question, lang AS candidate_role, substr(text, 41, 60) AS candidate_solution FROM documents JOIN labels USING (doc_id))"
+    + f"])[(doc_id % {len(TAILS)} + 1)::INT] AS answer_text, quality = 1 AS gold, text AS question, lang AS candidate_role, text AS candidate_solution FROM documents JOIN labels USING (doc_id))"
 )
