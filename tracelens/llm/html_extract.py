@@ -396,7 +396,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
         return pd.Series(out)
 
     rows = src.withColumn("to", F.explode(dealt("host", "path", "ks", "h"))).select("to.range", "to.role", "k", "ks", "url", "host", "path", "h", "page")
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "role", "host", "path", "ks", "h")
+    rows = rows.repartitionById(max(n, len(found)), F.col("range")).sortWithinPartitions("range", "role", "host", "path", "ks", "h")
     schema = pa.schema([("k", key_type), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
