@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than space and U+0009..U+000D.
@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, local mode) a temporary folder is taken."""
+    Only where it is unset in local mode (tests) a temporary folder is taken; on a cluster, executors would not see it."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not set_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="tracelens-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(set_dir)
@@ -95,6 +97,26 @@ def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(acc)
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input can't clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    return [quoted(c) for c in df.columns]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under the names c0, c1, ..: batch functions don't take names with dots. `toDF(*df.columns)` names them back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the columns of `df` (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

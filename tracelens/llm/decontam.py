@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 STRIDE, FIT, DIMS, RANK = 24, 4, 1024, 96
 COMMON, SURE, LCS, PARA, ANSWER = 0.1, 0.8, 0.7, 0.5, 3
 BLOCK_ITEMS, ROWS, SLICE_BYTES, PART = 4096, 400, 1 << 21, 64
@@ -390,14 +392,15 @@ def decontaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_k
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, texts, _ = shared.value
             s = Scanner(m, texts)
-            for x, w in _slices(batches, text):
+            for x, w in _slices(batches, place):
                 keep = np.ones(x.num_rows, bool)
                 keep[[h[0] for h in s(w)]] = False
                 yield x.filter(pa.array(keep))
 
         return clean
 
-    out = docs
+    out, place = numbered(docs), f"c{docs.columns.index(text)}"
+    schema = out.schema
     for shared in _models(docs, bench, text, item_key, item_text):
-        out = out.mapInArrow(cleaner(shared), docs.schema)
-    return out
+        out = out.mapInArrow(cleaner(shared), schema)
+    return out.toDF(*docs.columns)

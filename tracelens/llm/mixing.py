@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, quoted
 
 #: Fixed parameters of a mix.
 WEIGHTS, SHARE, MOST, BLOCK, CHUNK = (3, 1, 2), 1.5, 2, 1024, 1024
@@ -61,17 +61,25 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return src.select("source", "sid", "source_size", "n_docs", F.when(F.col("is_full"), F.col("cap")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
-def running(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Adds `name`: the sum of `value` over the rows of the group before this row. Rows are ordered by chunk, then `order`."""
-    df = df.withColumn("_v", value)
-    sums = df.groupBy(*group, chunk).agg(F.sum("_v").alias("_s"))
-    before = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, chunk, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(sums, [*group, chunk]).withColumn(name, F.col("_b") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_b")
-
+def running(df: DataFrame, group: list[str], chunks: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds `name`: the sum of `value` over the rows of the group before this row. Rows are ordered by the first of `chunks`, then `order`.
 
-def schedule(src: DataFrame, block: int = BLOCK, chunk: int = 1 << 15) -> DataFrame:
+    `chunks` go from fine to coarse, each a coarser cut of the same order: the sums of the coarsest meet in one window per group,
+    those of finer ones in a window per coarser chunk, rows in a window per finest chunk."""
+    fine = chunks[0]
+    df = df.withColumn("_v", value)
+    sums = df.groupBy(*group, *chunks).agg(F.sum("_v").alias("_s"))
+    if len(chunks) > 1:
+        sums = running(sums, group, chunks[1:], [F.col(fine)], F.col("_s"), "_b")
+    else:
+        before = Window.partitionBy(*group).orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    inside = Window.partitionBy(*group, fine).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(sums.select(*group, fine, F.col("_b").alias("_before")), [*group, fine])
+    return joined.withColumn(name, F.col("_before") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_before")
+
+
+def schedule(src: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Slots of the mix: sid, rank (from 0), slot (place in the mix). `src` has sid and quota (words, long)."""
     spark = src.sparkSession
     src = src.select("sid", F.ceil(F.col("quota") / block).cast("long").alias("n_slots")).where("n_slots > 0")
@@ -79,14 +87,14 @@ def schedule(src: DataFrame, block: int = BLOCK, chunk: int = 1 << 15) -> DataFr
     upto = Window.orderBy("sid")
     cum = F.sum("n_slots").over(upto)
     # [lo, hi) on a ring of 2**32 points; the bins that it touches make the interval join an equi join
-    edge = lambda c: F.floor(c.cast("decimal(38,0)") * F.lit(RING) / F.lit(max(total, 1))).cast("long")
-    src = src.select("sid", "n_slots", edge(cum - F.col("n_slots")).alias("lo"), edge(cum).alias("hi"))
+    edge = lambda c: F.expr(f"cast({c} as decimal(20,0)) * {RING} div {max(total, 1)}").alias(c)
+    src = src.select("sid", "n_slots", (cum - F.col("n_slots")).alias("lo"), cum.alias("hi")).select("sid", "n_slots", edge("lo"), edge("hi"))
     width = RING // _BINS
     spans = src.withColumn("bin", F.explode(F.sequence((F.col("lo") / width).cast("long"), ((F.greatest("hi", F.col("lo") + 1) - 1) / width).cast("long"))))
     points = spark.range(total).select(F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id") + 1, F.lit(RING)) * F.lit(GOLDEN), F.lit(RING)).alias("u"))
     points = points.withColumn("bin", (F.col("u") / width).cast("long"))
-    hits = points.join(F.broadcast(spans) if _few(spans) else spans, "bin").where("u >= lo and u < hi").select("sid", "slot", F.floor(F.col("slot") / chunk).alias("chunk"))
-    ranked = running(hits, ["sid"], "chunk", [F.col("slot")], F.lit(1), "rank").select("sid", "slot", F.col("rank").cast("long").alias("rank"))
+    hits = points.join(F.broadcast(spans) if _few(spans) else spans, "bin").where("u >= lo and u < hi").select("sid", "slot", F.floor(F.col("slot") / chunk).alias("chunk"), F.floor(F.col("slot") / chunk**2).alias("chunks"))
+    ranked = running(hits, ["sid"], ["chunk", "chunks"], [F.col("slot")], F.lit(1), "rank").select("sid", "slot", F.col("rank").cast("long").alias("rank"))
     ranked = ranked.join(src.select("sid", "n_slots"), "sid").where("rank < n_slots").select("sid", "rank", "slot")
     met = hits.groupBy("sid").agg(F.count(F.lit(1)).alias("n_hit"))
     left = src.join(met, "sid", "left").where("coalesce(n_hit, 0) < n_slots").select("sid", F.explode(F.sequence(F.coalesce("n_hit", F.lit(0)), F.col("n_slots") - 1)).alias("rank"))
@@ -99,32 +107,37 @@ def _few(spans: DataFrame, most: int = 100_000) -> bool:
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: key, source, size, source_size, target, taken, first_slot (place in the mix of its first piece; null if not taken)."""
-    d = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    """One row per document: key, source, size, source_size, target, taken, first_slot (place in the mix of its first piece; null if not taken),
+    slots (the same for each pass over its source)."""
+    d = docs.select(quoted(key).alias("k"), quoted(source).alias("source"), word_count(quoted(text)).alias("size"))
     d = checkpointed(d)
     src = checkpointed(targets(d, weights, share, most)).withColumn("quota", F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * most).cast("long"))
     largest = src.agg(F.coalesce(F.max("n_docs"), F.lit(0))).first()[0]
     digits = max(1, min(8, -(-max(1, largest // CHUNK).bit_length() // 4)))
 
     d = d.join(F.broadcast(src) if _few(src) else src, d["source"].eqNullSafe(src["source"])).select("k", d["source"], "size", "sid", "source_size", "target", "quota")
-    d = d.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("k").cast("string"), F.lit(""))))).withColumn("chunk", F.substring("h", 1, digits))
-    line = running(d, ["sid"], "chunk", [F.col("h"), F.col("k"), F.col("size")], F.col("size"), "start")
+    d = d.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("k").cast("string"), F.lit("")))))
+    d = d.withColumn("chunk", F.substring("h", 1, digits)).withColumn("chunks", F.substring("h", 1, max(1, digits - 3)))
+    line = running(d, ["sid"], ["chunk", "chunks"], [F.col("h"), F.col("k"), F.col("size")], F.col("size"), "start")
 
     taken = line.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    taken = taken.select("sid", "size", "start", "quota", (F.col("start") + F.col("pass") * F.col("source_size")).alias("a"))
+    taken = taken.select("sid", "size", "start", "quota", "pass", (F.col("start") + F.col("pass") * F.col("source_size")).alias("a"))
     taken = taken.where("a < quota").withColumn("b", F.least(F.col("a") + F.col("size"), "quota"))
     pieces = taken.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
-    pieces = pieces.select("sid", "size", "start", "rank", (F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)).alias("n"))
+    pieces = pieces.select("sid", "size", "start", "pass", "rank", (F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)).alias("n"))
     slots = schedule(src, block)
-    got = pieces.join(slots, ["sid", "rank"]).groupBy("sid", "start", "size").agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"))
+    got = pieces.join(slots, ["sid", "rank"]).groupBy("sid", "start", "size").agg(
+        F.sum("n").alias("taken"), F.min("slot").alias("first_slot"), F.array(*[F.min(F.when(F.col("pass") == p, F.col("slot"))) for p in range(most)]).alias("slots")
+    )
     # a row with words has a start of its own within its source, so (sid, start, size) names it
-    got = got.select(F.col("sid").alias("g_sid"), F.col("start").alias("g_start"), F.col("size").alias("g_size"), "taken", "first_slot")
+    got = got.select(F.col("sid").alias("g_sid"), F.col("start").alias("g_start"), F.col("size").alias("g_size"), "taken", "first_slot", "slots")
     out = line.join(got, (F.col("sid") == F.col("g_sid")) & (F.col("start") == F.col("g_start")) & (F.col("size") == F.col("g_size")), "left")
-    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "slots")
 
 
-#: The same mix in DuckDB; a document's taken words are what its passes share with its source's quota.
-ORACLE_SQL = r"""
+#: The same mix in DuckDB; a document's taken words are what its passes share with its source's quota, and its first slot
+#: is the first, in the order of golden-ratio points, of the blocks that it has a part in.
+ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
 ), g AS (
@@ -137,14 +150,30 @@ WITH d AS (
   SELECT *, (words - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM r
 ), t AS (
-  SELECT source, source_size, CASE WHEN cap / w <= lev THEN cap
-    ELSE w * (min(CASE WHEN cap / w > lev THEN {'r': cap / w, 's': sid, 'lev': lev} END) OVER ()).lev END AS target FROM f
+  SELECT source, sid, source_size, CASE WHEN cap / w <= lev THEN cap
+    ELSE w * (min(CASE WHEN cap / w > lev THEN {{'r': cap / w, 's': sid, 'lev': lev}} END) OVER ()).lev END AS target FROM f
+), q AS (
+  SELECT *, least(floor(target + 0.5)::BIGINT, 2 * source_size) AS quota FROM t
+), b AS (
+  SELECT sid, ceil(quota / {BLOCK}.0)::BIGINT AS n_slots, sum(ceil(quota / {BLOCK}.0)::BIGINT) OVER (ORDER BY sid)::HUGEINT AS upto,
+    sum(ceil(quota / {BLOCK}.0)::BIGINT) OVER ()::HUGEINT AS total FROM q
+), p AS (
+  SELECT k AS slot, ((k + 1) % {RING}) * {GOLDEN} % {RING} AS u FROM (SELECT unnest(range(0, max(total)::BIGINT)) AS k FROM b)
+), m AS (
+  SELECT sid, slot, n_slots, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank
+  FROM p JOIN b ON u >= (upto - n_slots) * {RING} // total AND u < upto * {RING} // total
+), z AS (
+  SELECT b.sid, k.rank, coalesce(m.slot, total::BIGINT) AS slot FROM b, LATERAL (SELECT unnest(range(0, n_slots)) AS rank) k LEFT JOIN m ON m.sid = b.sid AND m.rank = k.rank
 ), l AS (
-  SELECT d.*, t.source_size, t.target, least(floor(t.target + 0.5)::BIGINT, 2 * t.source_size) AS quota,
+  SELECT row_number() OVER () AS id, d.*, q.sid, q.source_size, q.target, quota,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), v AS (
+  SELECT id, sid, start + y * source_size AS a, least(start + y * source_size + size, quota) AS b FROM l, (SELECT unnest([0, 1]) AS y) WHERE size > 0 AND start + y * source_size < quota
+), s AS (
+  SELECT id, min(slot) AS first_slot FROM v JOIN z ON z.sid = v.sid AND z.rank BETWEEN a // {BLOCK} AND (b - 1) // {BLOCK} GROUP BY id
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
-  (greatest(0, least(start + size, quota) - start) + greatest(0, least(source_size + start + size, quota) - source_size - start))::BIGINT AS taken
-FROM l
+  (greatest(0, least(start + size, quota) - start) + greatest(0, least(source_size + start + size, quota) - source_size - start))::BIGINT AS taken, first_slot
+FROM l LEFT JOIN s USING (id)
 """

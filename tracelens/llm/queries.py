@@ -35,7 +35,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +58,8 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_index, op2_ann, op3_chat, op4_toxicity, op5_mixing, op6_neardup, op7_secrets, op8_html, op9_token_counts, op10_decontam)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_token_index, op2_ann, op3_chat, op4_toxicity, op5_mixing, op6_neardup, op7_secrets, op8_html, op9_token_counts, op10_decontam)
+}
 ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
