@@ -33,30 +33,43 @@ def test_majority_first_wins_ties(spark):
     assert got == {"x": ("b", 2, 2), "y": (None, 1, 1)}
 
 
-def plain_guard(cands):
+def draws(*sizes):
+    """Places that a generator seeded with 42 picks in turn."""
     rng = random.Random(42)
-    count = lambda cs: Counter(c[2] for c in cs)
-    tops = lambda v: [a for a, n in v.items() if n == max(v.values())]
-    yes = [c for c in cands if c[4]]
-    g = count(cands)
-    if not yes:
-        a = rng.choice(tops(g))
-        return rng.choice([c for c in cands if c[2] == a])[1], "B_no_yes_global"
-    y = count(yes)
-    if len(tops(y)) == len(tops(g)) == 1 and tops(y) != tops(g) and max(g.values()) >= 2 and any(c[2] == tops(g)[0] for c in yes):
-        return rng.choice([c for c in cands if c[2] == tops(g)[0]])[1], "B_conflict_guard_global"
-    a = rng.choice(tops(y))
-    return rng.choice([c for c in yes if c[2] == a])[1], "B_yes_majority"
-
-
-def test_guarded_majority_is_the_seeded_choice(spark):
-    rows = made()
-    got = {r.q: (r.chosen_pos, r.strategy) for r in select.guarded_majority(spark.createDataFrame(rows, COLS), F.col("yes")).collect()}
-    assert got == {q: plain_guard(c) for q, c in by_question(rows).items()}
+    return [rng.choice(range(n)) for n in sizes]
+
+
+#: Answers of a question in order, upper case where judged Yes, with what is to come out: strategy, answer and its draws.
+GUARD = {
+    "abb": ("B_no_yes_global", "b", [1, 2], draws(1, 2)[1]),
+    "ab": ("B_no_yes_global", "ab"[draws(2, 1)[0]], [draws(2, 1)[0]], 0),
+    "aabbcc": ("B_no_yes_global", "abc"[draws(3, 2)[0]], [2 * draws(3, 2)[0], 2 * draws(3, 2)[0] + 1], draws(3, 2)[1]),
+    "AABbb": ("B_conflict_guard_global", "b", [2, 3, 4], draws(3)[0]),
+    "AAbbb": ("B_yes_majority", "a", [0, 1], draws(1, 2)[1]),  # b has no Yes
+    "AABbbaa": ("B_yes_majority", "a", [0, 1], draws(1, 2)[1]),  # a leads in both
+    "AABbbcccC": ("B_conflict_guard_global", "c", [5, 6, 7, 8], draws(4)[0]),
+    "AABBccccC": ("B_yes_majority", "ab"[draws(2, 2)[0]], [[0, 1], [2, 3]][draws(2, 2)[0]], draws(2, 2)[1]),  # two lead among Yes
+    "AaBb": ("B_yes_majority", "ab"[draws(2, 1)[0]], [[0], [2]][draws(2, 1)[0]], 0),
+    "a" * 300 + "b" * 1000: ("B_no_yes_global", "b", list(range(300, 1300)), draws(1, 1000)[1]),
+    "".join(chr(0x4E00 + i) for i in range(700)): ("B_no_yes_global", chr(0x4E00 + draws(700, 1)[0]), [draws(700, 1)[0]], 0),
+}
+
+
+def test_guarded_majority_by_hand(spark):
+    rows = [(name, i, x.lower(), 0.0, x.isupper(), True) for name in GUARD for i, x in enumerate(name)]
+    got = {r.q: (r.strategy, r.answer, r.chosen_pos) for r in select.guarded_majority(spark.createDataFrame(rows, COLS), F.col("yes")).collect()}
+    assert got == {q: (strategy, answer, places[i]) for q, (strategy, answer, places, i) in GUARD.items()}
+
+
+def test_seeded_places_of_any_size(spark):
+    sizes = [*range(1, 700), 1000, 4096, 65_537, 10**6, 2**31, 2**32 - 1]
+    rows = spark.createDataFrame([(n, f) for n in sizes for f in (1, 2, 3, 9, 300)], "n long, f long")
+    for r in rows.select("n", "f", select.place_in_pool(F.col("n")).alias("one"), select.second_place(F.col("f"), F.col("n")).alias("two")).collect():
+        assert (r.one, r.two) == (draws(r.n)[0], draws(r.f, r.n)[1])
 
 
 def test_pool_pick_is_the_seeded_choice(spark):
-    rows = made()
+    rows = made() + [("hot", 3 * i - 5000, "a", 0.0, i % 2 == 0, True) for i in range(5000)] + [("none", i, "a", 0.0, None, None) for i in range(3)]
     got = {r.q: r.chosen_pos for r in select.pool_pick(spark.createDataFrame(rows, COLS), F.col("yes")).collect()}
     assert got == {q: random.Random(42).choice([c for c in cs if c[4]] or cs)[1] for q, cs in by_question(rows).items()}
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import LINE_END, SPACE, squash, strip
+from .text import LINE_END, SPACE, let, squash, strip
 
 #: Fixed patterns: phrases that the gold normal form takes out wherever they stand.
 PREFIXES = (
@@ -27,7 +27,6 @@ PREFIXES = (
     r"equals?\s*:?\s*",
     r"=\s*",
 )
-PASSES = 16
 
 
 def boxed(c: Column) -> Column:
@@ -62,6 +61,16 @@ def _passes(c: Column, n: int, step) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), c, lambda acc, _: step(acc))
 
 
+def until_settled(c: Column, step) -> Column:
+    """`step`, which only ever takes characters away, until it takes none: as many passes at the most as the text has characters."""
+
+    def once(a: Column, _: Column) -> Column:
+        return F.when(a["done"], a).otherwise(let(step(a["text"]), lambda x: F.struct(x.alias("text"), (x == a["text"]).alias("done"))))
+
+    passes = lambda x: F.aggregate(F.sequence(F.lit(0), F.length(x)), F.struct(x.alias("text"), F.lit(False).alias("done")), once)["text"]
+    return let(c, passes)
+
+
 def gold_form(c: Column, compatibility: bool = True) -> Column:
     """[P6] The gold normal form. `compatibility` folds Unicode compatibility forms, which takes an Arrow UDF."""
     s = strip(F.coalesce(c, F.lit("")))
@@ -74,7 +83,7 @@ def gold_form(c: Column, compatibility: bool = True) -> Column:
     s = F.regexp_replace(s, r"\\mathrm\{([^{}]+)\}", "$1")
     s = F.regexp_replace(s, r"(?U)(\d),(?=\d)", "$1")
     phrases = "(?iU)" + "|".join(f"(?:{p})" for p in PREFIXES).replace(r"\s", SPACE)
-    s = _passes(s, PASSES, lambda x: F.regexp_replace(F.regexp_replace(x, phrases, ""), rf"(?U)^{SPACE}+", ""))
+    s = until_settled(s, lambda x: F.regexp_replace(F.regexp_replace(x, phrases, ""), rf"(?U)^{SPACE}+", ""))
     s = squash(F.regexp_replace(s, rf"(?U)[^\w\s\x1c-\x1f/.+\-]", ""))
     s = squash(F.regexp_replace(s, r"(?U)(-?\d+)\.0+(?=\s|$)", "$1"))
     return F.regexp_replace(s, r"(?U)(-?\d+)\.(?=\s*$)", "$1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, finite, strip
+from .text import SPACE, finite, let, strip
 
 NAN = float("nan")
 
@@ -14,11 +14,6 @@ def _sum(a: Column, f=lambda x: x) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
 
 
-def let(value: Column, f) -> Column:
-    """f(value) with the value computed once: inside other lambdas a plain expression would be computed for each element."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def finite_only(a: Column) -> Column:
     """[F14]"""
     return F.filter(a, finite)

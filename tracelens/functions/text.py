@@ -11,6 +11,33 @@ SPACE = r"[\s\x1c-\x1f]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+#: Array elements that are put together at once.
+SLICE = 128
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once: inside other lambdas a plain expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def lengths_before(lengths: Column) -> Column:
+    """For each length the sum of those before it. Slices are summed apart, so that long arrays aren't copied for each element."""
+
+    def ends(a: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(a, zero, lambda x, n: F.struct((x["at"] + n).alias("at"), F.concat(x["out"], F.array(x["at"])).alias("out")))
+
+    def block(x: Column, a: Column) -> Column:
+        return let(ends(a, x["at"]), lambda y: F.struct(y["at"].alias("at"), F.concat(x["out"], F.array(y["out"])).alias("out")))
+
+    def blocks(a: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / SLICE).cast("int")), lambda i: F.slice(a, i * SLICE + 1, SLICE))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<long>>").alias("out"))
+        return F.flatten(F.aggregate(parts, zero, block)["out"])
+
+    return F.when(F.size(lengths) > 0, let(lengths, blocks)).otherwise(F.array().cast("array<long>"))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 

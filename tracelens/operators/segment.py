@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.entropy import let, step_stats
-from ..functions.text import strip
+from ..functions.entropy import step_stats
+from ..functions.text import lengths_before, let, strip
 
 HEADER = r"(?miU)(?:^|\n)\s*Step\s+\d+\b"
 _SPAN = "array<struct<s:int,e:int,text:string>>"
@@ -15,9 +15,13 @@ _SPAN = "array<struct<s:int,e:int,text:string>>"
 def _placed(pieces: Column, base: Column | int = 0) -> Column:
     """Spans of pieces that lie end to end."""
     base = F.lit(base) if isinstance(base, int) else base
-    zero = F.struct(base.cast("int").alias("at"), F.array().cast(_SPAN).alias("out"))
-    step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), (a["at"] + F.length(p)).alias("e"), p.alias("text")))).alias("out"))
-    return F.aggregate(pieces, zero, step)["out"]
+    starts = lambda p: lengths_before(F.transform(p, lambda x: F.length(x).cast("long")))
+
+    def spans(p: Column) -> Column:
+        place = lambda x: (x["at"] + base).cast("int")
+        return F.transform(F.arrays_zip(p.alias("p"), starts(p).alias("at")), lambda x: F.struct(place(x).alias("s"), (place(x) + F.length(x["p"])).alias("e"), x["p"].alias("text")))
+
+    return let(pieces, spans).cast(_SPAN)
 
 
 def _not_blank(spans: Column) -> Column:

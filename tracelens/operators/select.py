@@ -11,22 +11,53 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pools up to this size pick the place that a generator freshly seeded with 42 picks; larger ones pick their first.
-POOL = 256
+from ..functions.text import let
 
+#: 32-bit words that a generator seeded with 42 gives, in order. A draw among n < 2**32 takes words until the leading bits of one, as
+#: many as n has, are less than n; of each word that is so with probability of at least a half.
+WORDS = tuple(map(random.Random(42).getrandbits, [32] * 128))
 
-def seeded_place(n: int, first: int | None = None) -> int:
-    """Place (from 0) that random.Random(42).choice takes among n; with `first`, in a second draw after one among `first`."""
-    rng = random.Random(42)
-    if first is not None:
-        rng.choice(range(first))
-    return rng.choice(range(n))
+
+def _draw(n: Column, words: Column) -> Column:
+    """struct<place, used> of a draw among n: the place (from 0) and how many of the words it takes."""
+    shift = F.lit(32) - F.length(F.bin(n))
+    lead = F.transform(words, lambda w: F.floor(w / F.pow(F.lit(2.0), shift)).cast("long"))
+
+    def first(x: Column) -> Column:
+        used = F.array_position(F.transform(x, lambda v: v < n), F.lit(True)).cast("int")
+        return F.struct(F.get(x, used - 1).alias("place"), used.alias("used"))
+
+    return let(lead, first)
 
 
 def place_in_pool(n: Column) -> Column:
-    """[W18] seeded_place as a column."""
-    places = F.array(*[F.lit(seeded_place(i)) for i in range(1, POOL + 1)])
-    return F.when(n.between(1, POOL), F.get(places, n.cast("int") - 1)).otherwise(0)
+    """[W18] The place (from 0) that random.Random(42).choice takes among n, as a column."""
+    return _draw(n.cast("long"), F.array(*[F.lit(w).cast("long") for w in WORDS]))["place"]
+
+
+def second_place(first: Column, n: Column) -> Column:
+    """[W18] The seeded place of a second draw among n, after a first among `first`."""
+    words = F.array(*[F.lit(w).cast("long") for w in WORDS])
+    return let(words, lambda w: let(_draw(first.cast("long"), w)["used"], lambda used: _draw(n.cast("long"), F.slice(w, used + 1, len(WORDS)))["place"]))
+
+
+#: Ranges of positions in which the rows of a question are counted before any of them are ranked.
+BINS = 256
+
+
+def at_place(pool: DataFrame, place: DataFrame, q: str, pos: str) -> DataFrame:
+    """Of each question's rows, in the order of `pos`, the one at its place (from 0). `place`: q, _place, _lo, _hi (least and largest pos).
+
+    Rows are counted in ranges of positions first, and only the range that holds the place is ranked, so a question may have any number of rows."""
+    x = pool.join(place.withColumnRenamed(q, "_q"), F.col(q).eqNullSafe(F.col("_q"))).drop("_q")
+    width = (F.col("_hi").cast("double") - F.col("_lo") + 1) / BINS
+    x = x.withColumn("_bin", F.floor((F.col(pos).cast("double") - F.col("_lo")) / width))
+    counts = x.groupBy(q, "_bin", "_place").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(q).orderBy("_bin")) - F.col("_c"))
+    found = counts.where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_c"))).select(F.col(q).alias("_q"), F.col("_bin").alias("_b"), "_before")
+    rows = x.join(found, F.col(q).eqNullSafe(F.col("_q")) & (F.col("_bin") == F.col("_b")))
+    i = F.row_number().over(Window.partitionBy(q).orderBy(pos)) - 1
+    return rows.withColumn("_i", i).where(F.col("_i") == F.col("_place") - F.col("_before")).drop("_q", "_b", "_i", "_bin", "_lo", "_hi", "_place", "_before")
 
 
 def answer_counts(df: DataFrame, q: str, ans: str, pos: str, yes: Column | None = None) -> DataFrame:
@@ -61,12 +92,19 @@ def best_run(df: DataFrame, required: list[str], q: str = "q", run: str = "run",
 
 def pool_pick(df: DataFrame, yes: Column, q: str = "q", pos: str = "pos", keep: tuple[str, ...] = ("ans", "ok")) -> DataFrame:
     """[W5 W7] A seeded pick among a question's Yes candidates, else among all; `expected` is the exact mean of ok over the pool."""
-    some = F.max(yes.cast("int")).over(Window.partitionBy(q))
-    pool = df.withColumn("_yes", yes).withColumn("_some", some).where(F.col("_yes") | (F.col("_some") == 0))
-    w = Window.partitionBy(q)
-    pool = pool.withColumn("_i", F.row_number().over(w.orderBy(pos)) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("expected", F.avg(F.col("ok").cast("double")).over(w))
-    name = F.when(F.col("_some") == 1, "yes_pool").otherwise("all")
-    return pool.where(F.col("_i") == place_in_pool(F.col("_n"))).select(q, F.col(pos).alias("chosen_pos"), *keep, "expected", name.alias("strategy"))
+    rows = df.withColumn("_yes", F.coalesce(yes, F.lit(False)))
+    ok = F.col("ok").cast("double")
+    of = lambda c: F.when(F.col("_yes"), c)
+    stats = rows.groupBy(q).agg(
+        F.bool_or("_yes").alias("_some"), F.count(F.lit(1)).alias("n"), F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.avg(ok).alias("e"),
+        F.count_if("_yes").alias("yn"), F.min(of(F.col(pos))).alias("ylo"), F.max(of(F.col(pos))).alias("yhi"), F.avg(of(ok)).alias("ye"),
+    )
+    pick = lambda a, b: F.when(F.col("_some"), F.col(a)).otherwise(F.col(b))
+    stats = stats.select(q, "_some", pick("yn", "n").alias("n"), pick("ylo", "lo").alias("_lo"), pick("yhi", "hi").alias("_hi"), pick("ye", "e").alias("expected"))
+    stats = stats.withColumn("_place", place_in_pool(F.col("n"))).drop("n")
+    pool = rows.join(stats.select(F.col(q).alias("_s"), F.col("_some").alias("_any")), F.col(q).eqNullSafe(F.col("_s"))).where(F.col("_yes") | ~F.col("_any")).drop("_s", "_any", "_yes")
+    name = F.when(F.col("_some"), "yes_pool").otherwise("all")
+    return at_place(pool, stats, q, pos).select(q, F.col(pos).alias("chosen_pos"), *keep, "expected", name.alias("strategy"))
 
 
 def filtered_majority(df: DataFrame, yes: Column, q: str = "q", ans: str = "ans", pos: str = "pos", by_support: bool = True) -> DataFrame:
@@ -98,25 +136,15 @@ def guarded_majority(df: DataFrame, yes: Column, q: str = "q", ans: str = "ans",
     g = g.select(q, answer.alias("answer"), "strategy", tied.alias("tied"))
     # the candidate within the answer: a further draw where an answer was drawn, the only one after a guard
     rows = df.withColumn("_yes", yes).join(g.withColumnRenamed(q, "_q"), F.col(q).eqNullSafe(F.col("_q")) & F.col(ans).eqNullSafe(F.col("answer"))).where((F.col("strategy") != "B_yes_majority") | F.col("_yes"))
-    w = Window.partitionBy(q)
-    rows = rows.withColumn("_i", F.row_number().over(w.orderBy(pos)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    place = F.when(F.col("tied") == 0, place_in_pool(F.col("_n"))).otherwise(second_place(F.col("tied"), F.col("_n")))
-    picked = rows.where(F.col("_i") == place)
+    n = F.count(F.lit(1)).alias("n")
+    stats = rows.groupBy(q, "tied").agg(n, F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+    place = F.when(F.col("tied") == 0, place_in_pool(F.col("n"))).otherwise(second_place(F.greatest(F.col("tied"), F.lit(1)), F.col("n")))
+    picked = at_place(rows.drop("_q", "_yes"), stats.select(q, place.alias("_place"), "_lo", "_hi"), q, pos)
     votes = c.select(F.col(q).alias("_q2"), F.col(ans).alias("_a2"), F.col("n").alias("global_votes"), F.col("y_n").alias("yes_votes"))
     out = picked.join(votes, F.col(q).eqNullSafe(F.col("_q2")) & F.col("answer").eqNullSafe(F.col("_a2")))
     return out.select(q, "answer", F.col(pos).alias("chosen_pos"), "strategy", "global_votes", "yes_votes")
 
 
-SECOND = 64
-
-
-def second_place(first: Column, n: Column) -> Column:
-    """The seeded place of a second draw among n after a first among `first` (up to 8 and SECOND; beyond, the first)."""
-    table = F.array(*[F.array(*[F.lit(seeded_place(i, f)) for i in range(1, SECOND + 1)]) for f in range(1, 9)])
-    inside = first.between(1, 8) & n.between(1, SECOND)
-    return F.when(inside, F.get(F.get(table, first.cast("int") - 1), n.cast("int") - 1)).otherwise(0)
-
-
 def support_filtered(df: DataFrame, yes: Column, q: str = "q", ans: str = "ans", pos: str = "pos", margin: str = "score") -> DataFrame:
     """[W10, experimental: only its results are known] Among Yes answers with two votes or more the highest margin, else the vote of all."""
     c = df.groupBy(q, ans).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"), F.max(F.when(yes, F.col(margin))).alias("m"))

@@ -64,14 +64,25 @@ def pick_best_run(spark, sf):
     return select.best_run(views.runs(spark, sf), ["RF", "AF", "NO"])
 
 
-_PLACES = "([" + ", ".join(str(select.seeded_place(i)) for i in range(1, select.POOL + 1)) + "])"
-_SECOND = "([" + ", ".join("[" + ", ".join(str(select.seeded_place(i, f)) for i in range(1, select.SECOND + 1)) + "]" for f in range(1, 9)) + "])"
+_WORDS = "[" + ", ".join(map(str, select.WORDS)) + "]"
 
 
-@query(f"""WITH {C}, {D}, p AS (SELECT *, max(yes) OVER (PARTITION BY q) AS any_yes FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY q) AS n, avg(ok::INT) OVER (PARTITION BY q) AS e FROM p WHERE yes OR NOT any_yes)
-SELECT q, pos AS chosen_pos, ans, ok, round(e, 6) AS expected, CASE WHEN any_yes THEN 'yes_pool' ELSE 'all' END AS strategy FROM o WHERE i = {_PLACES}[n]""")
+def _draw(n: str, words: str = _WORDS) -> str:
+    """The seeded place among n, in SQL: the leading bits, as many as n has, of the first word for which they are less than n."""
+    lead = f"x // (1 << (32 - length(bin(({n})::BIGINT))))"
+    return f"list_transform(list_filter({words}, lambda x: {lead} < ({n})), lambda x: {lead})[1]"
+
+
+def _used(n: str) -> str:
+    """How many words that takes."""
+    return f"list_position(list_transform({_WORDS}, lambda x: x // (1 << (32 - length(bin(({n})::BIGINT)))) < ({n})), true)"
+
+
+@query(f"""WITH {C}, p AS (SELECT *, max(yes) OVER (PARTITION BY q) AS any_yes FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY q) AS n, avg(ok::INT) OVER (PARTITION BY q) AS e FROM p WHERE yes OR NOT any_yes)
+SELECT q, pos AS chosen_pos, ans, ok, round(e, 6) AS expected, CASE WHEN any_yes THEN 'yes_pool' ELSE 'all' END AS strategy FROM o WHERE i = {_draw('n')}""")
 def teacher_naive(spark, sf):
-    return rounded(select.pool_pick(views.daily(spark, sf), F.col("yes")))
+    return rounded(select.pool_pick(views.candidates(spark, sf), F.col("yes")))
 
 
 @query(f"""WITH {C}, {_VOTES}, s AS (SELECT *, max(y_n > 0) OVER (PARTITION BY q) AS any_yes FROM v), p AS (SELECT *, CASE WHEN any_yes THEN y_n ELSE n END AS pn, CASE WHEN any_yes THEN y_f ELSE f END AS pf FROM s)
@@ -80,17 +91,29 @@ def filtered_majority(spark, sf):
     return select.filtered_majority(views.candidates(spark, sf), F.col("yes"))
 
 
-_GUARD = f"""WITH {C}, {D}, v AS (SELECT q, ans, count(*) AS n, min(pos) AS f, count(*) FILTER (yes) AS y_n, min(pos) FILTER (yes) AS y_f FROM d GROUP BY q, ans),
+def _guard(rows: str, base: str = "c") -> str:
+    """The guarded majority over candidates `base`, in SQL."""
+    after = f"list_slice({_WORDS}, ({_used('tied')} + 1)::INT, {len(select.WORDS)})"
+    return f"""WITH {rows}, v AS (SELECT q, ans, count(*) AS n, min(pos) AS f, count(*) FILTER (yes) AS y_n, min(pos) FILTER (yes) AS y_f FROM {base} GROUP BY q, ans),
 m AS (SELECT *, max(n) OVER (PARTITION BY q) AS g_max, max(y_n) OVER (PARTITION BY q) AS y_max FROM v),
 t AS (SELECT q, any_value(g_max) AS g_max, any_value(y_max) AS y_max, list({{'f': f, 'a': ans, 'y': y_n}} ORDER BY f) FILTER (n = g_max) AS gt, coalesce(list({{'f': y_f, 'a': ans}} ORDER BY y_f) FILTER (y_n = y_max AND y_max > 0), []) AS yt FROM m GROUP BY q),
 s AS (SELECT *, CASE WHEN y_max = 0 THEN 'B_no_yes_global' WHEN len(yt) = 1 AND len(gt) = 1 AND yt[1].a <> gt[1].a AND g_max >= 2 AND gt[1].y > 0 THEN 'B_conflict_guard_global' ELSE 'B_yes_majority' END AS strategy FROM t),
-a AS (SELECT q, strategy, CASE WHEN strategy = 'B_yes_majority' THEN yt[({_PLACES}[len(yt)] + 1)::INT].a ELSE gt[({_PLACES}[len(gt)] + 1)::INT].a END AS answer, CASE strategy WHEN 'B_conflict_guard_global' THEN 0 WHEN 'B_yes_majority' THEN len(yt) ELSE len(gt) END AS tied FROM s),
-x AS (SELECT d.q, d.pos, a.answer, a.strategy, a.tied, row_number() OVER (PARTITION BY d.q ORDER BY d.pos) - 1 AS i, count(*) OVER (PARTITION BY d.q) AS n FROM d JOIN a ON d.q = a.q AND d.ans = a.answer WHERE a.strategy <> 'B_yes_majority' OR d.yes)
-SELECT x.q, answer, pos AS chosen_pos, strategy, v.n AS global_votes, v.y_n AS yes_votes FROM x JOIN v ON v.q = x.q AND v.ans = x.answer WHERE i = CASE WHEN tied = 0 THEN {_PLACES}[x.n] ELSE {_SECOND}[tied][x.n] END"""
+a AS (SELECT q, strategy, CASE WHEN strategy = 'B_yes_majority' THEN yt[({_draw('len(yt)')} + 1)::INT].a ELSE gt[({_draw('len(gt)')} + 1)::INT].a END AS answer, CASE strategy WHEN 'B_conflict_guard_global' THEN 0 WHEN 'B_yes_majority' THEN len(yt) ELSE len(gt) END AS tied FROM s),
+x AS (SELECT d.q, d.pos, a.answer, a.strategy, a.tied, row_number() OVER (PARTITION BY d.q ORDER BY d.pos) - 1 AS i, count(*) OVER (PARTITION BY d.q) AS n FROM {base} d JOIN a ON d.q = a.q AND d.ans = a.answer WHERE a.strategy <> 'B_yes_majority' OR d.yes)
+SELECT x.q, answer, pos AS chosen_pos, strategy, v.n AS global_votes, v.y_n AS yes_votes FROM x JOIN v ON v.q = x.q AND v.ans = x.answer WHERE i = CASE WHEN tied = 0 THEN {_draw('x.n')} ELSE {_draw('x.n', after)} END"""
+
+
+_GUARD = _guard(C)
 
 
 @query(_GUARD)
 def guarded_majority(spark, sf):
+    return select.guarded_majority(views.candidates(spark, sf), F.col("yes"))
+
+
+@query(_guard(f"{C}, {D}", "d"))
+def guarded_majority_daily(spark, sf):
+    """Many questions of few candidates each, with ties."""
     return select.guarded_majority(views.daily(spark, sf), F.col("yes"))
 
 
