@@ -7,16 +7,16 @@ that touches no base span. For each it
 * infers the encoding (hex, base32, base62 or base64: the smallest whose alphabet holds it)
   and takes its letters as symbols of that alphabet;
 * tests them for uniformity of the alphabet (chi-squared), for runs (of symbols in the upper
-  and lower half of the alphabet) and for serial correlation at lag one. Each test's p value
-  under randomness must be at least `ALPHA` / 3 (a union bound over the battery), so that
-  a random string fails with at most ALPHA;
+  and lower half of the alphabet) and for serial correlation at lag one. The least of the three p
+  values under randomness, times three (Bonferroni), is the token's p value of being random;
 * takes the p value of the chi-squared statistic under the opposite hypothesis, text: the
   statistic of a text-like string of its length is about normal with mean k - 1 + n * SKEW
   and variance 2 (k - 1) + 4 n * SKEW. Long strings can reach small values, short ones can't.
 
-Within each class of lengths (powers of two) and encoding, the Benjamini-Hochberg rule at
-`FDR` picks the threshold over all tokens of the table: p values are counted in bins of
-their exponent, and the largest bin whose bound holds is the threshold. Bins, not
+Within each class of lengths (powers of two) and encoding, the Benjamini-Hochberg rule is applied to both p values
+over all tokens of the table: at `ALPHA` to the battery's, which names the tokens that aren't random (of them at most a share ALPHA
+wrongly), and at `FDR` to that of text, which names those that aren't text. A secret is what the second names and the first doesn't.
+P values are counted in bins of their exponent, and the largest bin whose bound holds is the threshold. Bins, not
 tokens, meet in one place, so the table of counts stays small at any size.
 
 Nulls and empty texts have no span. Very long texts are scanned whole; a token of any length is
@@ -28,7 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from ..functions.text import lengths_before, let
+from .common import checkpointed, quoted
 
 #: Fixed patterns of the base scan: kind, finder, and what a match must also be. Runs below the least length
 #: hold no match that counts, so the finders of the last two ask for it at once.
@@ -55,17 +56,17 @@ def spans(text: Column, pattern: str, ok: str | None = None) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("token"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["token"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), p["token"].alias("token")))
-        keep = F.lit(True) if ok is None else p["token"].rlike(ok)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(ps: Column) -> Column:
+        before = lengths_before(F.transform(ps, lambda p: (F.length(p["gap"]) + F.length(p["token"])).cast("long")))
+        start = lambda x: (x["at"] + F.length(x["p"]["gap"])).cast("int")
+        spans = F.transform(
+            F.arrays_zip(ps.alias("p"), before.alias("at")),
+            lambda x: F.struct(start(x).alias("start"), (start(x) + F.length(x["p"]["token"])).alias("end"), x["p"]["token"].alias("token")),
+        )
+        return spans if ok is None else F.filter(spans, lambda x: x["token"].rlike(ok))
 
-    all_of = F.aggregate(pairs, zero, step)["out"]
-    return F.when(text.rlike(pattern), all_of).otherwise(zero["out"])
+    return F.when(text.rlike(pattern), let(pairs, placed)).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -131,46 +132,52 @@ def battery(tokens: Column) -> Column:
         return _with(x, [*cols, "enc", "n"], p_uniform=normal_tail(cube), p_runs=2.0 * normal_tail(F.abs(runs)), p_serial=2.0 * normal_tail(F.abs(serial)), p_text=normal_tail(-as_text))
 
     def classes(x):
-        worst = F.least(x["p_uniform"], x["p_runs"], x["p_serial"])
+        worst = F.least(3.0 * F.least(x["p_uniform"], x["p_runs"], x["p_serial"]), F.lit(1.0))
+        exponent = lambda p: F.greatest(F.least(F.floor(F.log10(F.greatest(p, F.lit(1e-300))) * -4.0), F.lit(BINS)).cast("int"), F.lit(0))
         cls = x["enc"] * 64 + F.floor(F.log2(x["n"])).cast("int")
-        exponent = F.least(F.floor(F.log10(F.greatest(x["p_text"], F.lit(1e-300))) * -4.0), F.lit(BINS)).cast("int")
-        return F.struct(x["start"], x["end"], x["enc"], (worst >= ALPHA / 3).alias("random"), cls.alias("cls"), F.greatest(exponent, F.lit(0)).alias("bin"), x["p_text"])
+        return F.struct(x["start"], x["end"], x["enc"], cls.alias("cls"), exponent(x["p_text"]).alias("bin"), exponent(worst).alias("odd"), x["p_text"], worst.alias("p_random"))
 
     for f in (encoding, codes, sums, statistics, scores, classes):
         tokens = F.transform(tokens, f)
     return tokens
 
 
-def thresholds(tokens: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """Benjamini-Hochberg by class over binned p values: the least bin (largest p value) that is a discovery.
+def thresholds(counts: list, levels: dict[str, float]) -> dict[str, dict[int, int]]:
+    """Benjamini-Hochberg by class over binned p values: for each kind of p value and class the least bin (largest p value) that is a discovery.
 
-    `tokens` has cls and bin, a row for each token tested. Their counts are at most one row for each class and bin."""
-    counts = tokens.groupBy("cls", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
-    by: dict[int, dict[int, int]] = {}
+    `counts` has kind, cls, bin and n, how many tokens: at most one row for each."""
+    by: dict[tuple[str, int], dict[int, int]] = {}
     for r in counts:
-        by.setdefault(r["cls"], {})[r["bin"]] = r["n"]
-    out = {}
-    for cls, bins in by.items():
+        by.setdefault((r["kind"], r["cls"]), {})[r["bin"]] = r["n"]
+    out: dict[str, dict[int, int]] = {kind: {} for kind in levels}
+    for (kind, cls), bins in by.items():
         total, at_most = sum(bins.values()), 0
         for b in sorted(bins, reverse=True):
             at_most += bins[b]
-            if 10 ** (-b / 4) * total <= fdr * at_most:
-                out[cls] = b
+            if 10 ** (-b / 4) * total <= levels[kind] * at_most:
+                out[kind][cls] = b
     return out
 
 
 def secret_scan(docs: DataFrame, fdr: float = FDR, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_assign, n_access, n_hex, base_sha256, spans, found (all spans as array<struct<start, ord, end, kind>>)."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    d = docs.select(F.col(f"`{key}`").alias("k"), *[spans(t, p, ok).alias(kind) for kind, p, ok in BASE], spans(t, TOKEN).alias("tokens"))
+    t = F.coalesce(quoted(text), F.lit(""))
+    d = docs.select(quoted(key).alias("k"), *[spans(t, p, ok).alias(kind) for kind, p, ok in BASE], spans(t, TOKEN).alias("tokens"))
     place = lambda i, kind: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"))
     base = F.array_sort(F.concat(*[F.transform(kind, place(i, kind)) for i, (kind, _, _) in enumerate(BASE)]))
     d = d.select("k", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind, _, _ in BASE], base.alias("base"), "tokens")
     free = F.filter("tokens", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     d = checkpointed(d.select("k", "n_assign", "n_access", "n_hex", "base", battery(free).alias("tested")))
-    least = thresholds(d.select(F.explode("tested").alias("x")).select("x.cls", "x.bin"), fdr)
-    limit = F.create_map(*[F.lit(v) for kv in least.items() for v in kv]) if least else F.create_map().cast("map<int,int>")
-    hits = F.filter("tested", lambda x: x["random"] & F.coalesce(x["bin"] >= F.try_element_at(limit, x["cls"]), F.lit(False)))
+    kinds = F.explode(F.array(F.struct(F.lit("text").alias("kind"), F.col("x.bin").alias("bin")), F.struct(F.lit("random").alias("kind"), F.col("x.odd").alias("bin"))))
+    binned = d.select(F.explode("tested").alias("x")).select("x.cls", kinds.alias("b")).select("cls", "b.kind", "b.bin")
+    least = thresholds(binned.groupBy("kind", "cls", "bin").agg(F.count(F.lit(1)).alias("n")).collect(), {"text": fdr, "random": ALPHA})
+
+    def named(kind: str, x: Column, b: str) -> Column:
+        pairs = [F.lit(v) for kv in least[kind].items() for v in kv]
+        limit = F.create_map(*pairs) if pairs else F.create_map().cast("map<int,int>")
+        return F.coalesce(x[b] >= F.try_element_at(limit, x["cls"]), F.lit(False))
+
+    hits = F.filter("tested", lambda x: named("text", x, "bin") & ~named("random", x, "odd"))
     d = d.select("k", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", F.transform(hits, place(len(BASE), "random")))).alias("found"))
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return d.select(F.col("k").alias(key), "n_assign", "n_access", "n_hex", F.sha2(line("base"), 256).alias("base_sha256"), line("found").alias("spans"), "found")
