@@ -12,9 +12,9 @@
 4. Confirmation: intersection and union of the full shingle sets.
 5. Components by alternating large and small stars over the links (tables, no driver).
 6. Representatives whose buckets have the same smallest key are a group. Groups that now hold more than one
-   component are looked through for links across them: a group is dealt in blocks, and a task has the texts
-   of two blocks, compares them by bit counts, and confirms pairs of different components that pass
-   on full sets, likeliest first. A link joins the two components for the rest of the task, and only
+   component are looked through for links across them: a group is dealt in blocks, and a task compares the
+   signatures of two blocks by bit counts. Texts follow only of members that meet a possible partner of another component; such
+   pairs are confirmed on full sets, likeliest first. A link joins the two components for the rest of the task, and only
    such links come out: fewer than the task has rows. Then 5 again, on components.
 
 A pair at a threshold of 80 of 100 shares no bucket with a probability below 3e-7, at 85 of 100
@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, checkpointed, drop_path, mix64, shared_path, shingle_set, word_list
+from .common import WordHash, checkpointed, drop_path, mix64, quoted, shared_path, shingle_set, word_list
 
 BANDS, ROWS, BITS, SLICE = 38, 5, 4, 2048
-BLOCK = 512
+BLOCK, SALTS = 512, 32
 _SIZE = BANDS * ROWS + 63 & ~63  # whole words of bits
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _MUL = _rng.integers(0, 1 << 32, _SIZE, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -208,45 +208,76 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("c"))
 
 
-def across(members: DataFrame, threshold: float, percent: int, width: int) -> DataFrame:
-    """Links (a, b) that join different components of a group.
-
-    `members`: g, k, c, n_shingles, sig, t of groups with more than one component. A group's members are cut
-    into blocks by hash, and a task compares two blocks."""
-    least = least_equal(threshold)
-    size = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    dealt = members.join(size, "g").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+def near_pairs(ks: np.ndarray, cs: np.ndarray, ns: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, i: int, j: int, threshold: float) -> list[tuple[int, int, int]]:
+    """(equal values, place, place) of pairs of blocks i and j, of different components, that may reach the threshold by their signatures."""
+    least, first, second = least_equal(threshold), np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+    near: list[tuple[int, int, int]] = []
+    for p in first:
+        q = second[(cs[second] != cs[p]) & (np.minimum(ns[second], ns[p]) >= np.maximum(ns[second], ns[p]) * (threshold - 1e-9))]
+        q = q[ks[q] < ks[p]] if i == j else q
+        if len(q):
+            eq = equal_counts(sigs[q], sigs[p])
+            near += [(int(e), int(p), int(x)) for e, x in zip(eq[eq >= least], q[eq >= least], strict=True)]
+    return near
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of each (g, i, j) in turn, as tuples of the columns, of which these are the first."""
+    held: list[tuple] = []
+    for b in batches:
+        for start in range(0, b.num_rows, 500):
+            x = b.slice(start, 500)
+            for r in zip(*(x.column(c).to_pylist() for c in columns), strict=True):
+                if held and r[:3] != held[0][:3]:
+                    yield held
+                    held = []
+                held.append(r)
+    if held:
+        yield held
+
+
+def meeting(members: DataFrame, threshold: float) -> DataFrame:
+    """g, i, j, k, c, n_shingles, sig, block: the members that meet one of another component that they may be linked with, for each pair of blocks.
+
+    `members`: g, k, c, n (members of g), n_shingles, sig. A group's members are cut into blocks by hash, and a task compares
+    the signatures of two blocks; texts aren't needed yet."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     # a block goes to the tasks of (larger block, smaller block) that it is one of
     to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.greatest("block", j).alias("i"), F.least("block", j).alias("j")))
-    rows = dealt.withColumn("to", F.explode(to)).select("g", "to.i", "to.j", "k", "c", "n_shingles", "sig", "block", "t")
+    columns = ("g", "i", "j", "k", "c", "n_shingles", "sig", "block")
+    rows = dealt.withColumn("to", F.explode(to)).select("g", "to.i", "to.j", "k", "c", "n_shingles", "sig", "block")
+    schema = pa.schema(list(zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in block_rows(batches, columns):
+            ks, cs, ns, blocks = (np.array([r[n] for r in held], np.int64) for n in (3, 4, 5, 7))
+            near = near_pairs(ks, cs, ns, blocks, unpack([r[6] for r in held]), held[0][1], held[0][2], threshold)
+            need = sorted({p for _, *pair in near for p in pair})
+            yield pa.RecordBatch.from_arrays([pa.array([held[p][n] for p in need], f.type) for n, f in enumerate(schema)], schema=schema)
+
+    dealt_rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt_rows.mapInArrow(run, "g long, i int, j int, k long, c long, n_shingles long, sig binary, block int")
+
+
+def across(met: DataFrame, threshold: float, percent: int, width: int) -> DataFrame:
+    """Links (a, b) that join different components of a group. `met`: what `meeting` gives, with the text t."""
+    columns = ("g", "i", "j", "k", "c", "n_shingles", "sig", "block", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_set = sets_of(width)
-        held: list = []
-        at = None
-
-        def links() -> pa.RecordBatch:
-            ks, cs = np.array([r[3] for r in held], np.int64), np.array([r[4] for r in held], np.int64)
-            ns, blocks = np.array([r[5] for r in held], np.float64), np.array([r[7] for r in held])
-            sigs = unpack([r[6] for r in held])
-            first, second = np.flatnonzero(blocks == at[1]), np.flatnonzero(blocks == at[2])
-            near: list[tuple[int, int, int]] = []
-            for p in first:
-                q = second[(cs[second] != cs[p]) & (np.minimum(ns[second], ns[p]) >= np.maximum(ns[second], ns[p]) * (threshold - 1e-9))]
-                q = q[ks[q] < ks[p]] if at[1] == at[2] else q
-                if len(q):
-                    eq = equal_counts(sigs[q], sigs[p])
-                    near += [(-int(e), int(p), int(x)) for e, x in zip(eq[eq >= least], q[eq >= least], strict=True)]
+        for held in block_rows(batches, columns):
+            ks, cs, ns, blocks = (np.array([r[n] for r in held], np.int64) for n in (3, 4, 5, 7))
+            near = near_pairs(ks, cs, ns, blocks, unpack([r[6] for r in held]), held[0][1], held[0][2], threshold)
             sets: dict[int, np.ndarray] = {}
             root = {int(c): int(c) for c in cs}
 
             def find(c: int) -> int:
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
+                while root[c] != c:  # noqa: B023
+                    root[c] = c = root[root[c]]  # noqa: B023
                 return c
 
             out: list[tuple[int, int]] = []
-            for _, p, x in sorted(near):
+            for _, p, x in sorted(near, key=lambda e: (-e[0], e[1], e[2])):
                 u, v = find(int(cs[p])), find(int(cs[x]))
                 if u == v:
                     continue
@@ -257,27 +288,15 @@ def across(members: DataFrame, threshold: float, percent: int, width: int) -> Da
                 if 100 * common >= percent * (len(sets[p]) + len(sets[x]) - common):
                     root[max(u, v)] = min(u, v)
                     out.append((int(ks[p]), int(ks[x])))
-            return pa.RecordBatch.from_pydict({"a": pa.array([max(o) for o in out], pa.int64()), "b": pa.array([min(o) for o in out], pa.int64())})
-
-        for b in batches:
-            for start in range(0, b.num_rows, 500):
-                x = b.slice(start, 500)
-                for r in zip(*(x.column(c).to_pylist() for c in ("g", "i", "j", "k", "c", "n_shingles", "sig", "block", "t")), strict=True):
-                    if r[:3] != at:
-                        if held:
-                            yield links()
-                        held, at = [], r[:3]
-                    held.append(r)
-        if held:
-            yield links()
+            yield pa.RecordBatch.from_pydict({"a": pa.array([max(o) for o in out], pa.int64()), "b": pa.array([min(o) for o in out], pa.int64())})
 
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+    return met.select(*columns).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of the shingle sets."""
     threshold = percent / 100
-    src = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
+    src = docs.select(quoted(key).cast("long").alias("k"), quoted(text).alias("t"))
     signed = checkpointed(signatures(src, width))
     # one row per key, then one class per set; rows without a set stand alone
     of = signed.where("k is not null").groupBy("k").agg(F.min_by(F.struct("digest", "n_shingles"), "th").alias("x")).select("k", "x.*").where("digest is not null")
@@ -299,12 +318,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     links = confirmed(pairs, texts, percent, width)
     comp = checkpointed(components(links))
 
-    # groups of more than one component: links across them
-    placed = mates.select(F.col("b").alias("g"), "k").distinct().join(comp, "k", "left").select("g", "k", F.coalesce("c", "k").alias("c"))
-    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("g")
-    members = checkpointed(placed.join(mixed, "g", "left_semi"))
+    # groups of more than one component: links across them. A group's members meet it by salt, as it may have very many
+    placed = checkpointed(mates.select(F.col("b").alias("g"), "k").distinct().join(comp, "k", "left").select("g", "k", F.coalesce("c", "k").alias("c")))
+    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("g", "n")
+    salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = placed.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(salted, ["g", "salt"])
+    members = checkpointed(members.select("g", "k", "c", "n"))
     if not members.isEmpty():
-        more = checkpointed(across(members.join(reps.select("k", "n_shingles", "sig"), "k").join(texts, "k"), threshold, percent, width))
+        met = checkpointed(meeting(members.join(reps.select("k", "n_shingles", "sig"), "k"), threshold))
+        more = checkpointed(across(met.join(texts, "k"), threshold, percent, width))
         joined = more.join(comp.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(comp.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
         between = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
         comp = checkpointed(components(between.unionByName(comp.select(F.col("k").alias("a"), F.col("c").alias("b")))))
