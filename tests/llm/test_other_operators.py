@@ -70,18 +70,61 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(few.limit(0)).count() == 0
 
 
-def test_index_probes_find_all_within_a_radius():
+def coded_rows(spark, x):
+    codes = spark.sparkContext.broadcast(ann.Codes(x))
+    rows = spark.createDataFrame([(i, -i, v.tolist(), [i]) for i, v in enumerate(x)], "c1 long, c2 long, v array<double>, ids array<long>")
+    return ann.with_codes(rows, codes, x.shape[1]), ann.Codes(x).code(x)
+
+
+@pytest.mark.parametrize("p", [0, 1])
+def test_probes_find_all_within_a_radius(spark, p, monkeypatch):
+    monkeypatch.setattr(ann, "CHEAP", 1.0)
     rng = np.random.default_rng(1)
-    codes = np.packbits(rng.random((5000, ann.BITS)) < 0.5, axis=1, bitorder="little").view("<u8")
-    near = codes[0].copy()
-    near[0] ^= np.uint64(0b1011)
-    near[3] ^= np.uint64(1 << 40)
-    codes[77] = near
-    index = ann.MultiIndex(codes)
-    for p in range(2):
-        at, d = index.probe(codes[0], p), index.distances(codes[0])
-        assert at is not None and set(np.flatnonzero(d < (p + 1) * index.n_sub)) <= set(at.tolist())
-    assert set(index.nearest(codes[0], 2).tolist()) == {0, 77}
+    x = rng.standard_normal((300, 32))
+    x[150:] = x[:150] + rng.standard_normal((150, 32)) * rng.choice([0.01, 0.05, 0.1, 0.2], (150, 1))
+    coded, code = coded_rows(spark, x)
+    far = np.bitwise_count(code[:, None] ^ code[None]).sum(axis=2)
+    got = {(r.q1, r.c1) for r in ann.probed(coded.where("c1 < 60"), coded, p, 300).collect()}
+    want = {(q, c) for q in range(60) for c in range(300) if far[q, c] < ann.N_SUB * (p + 1)}
+    assert got == want and len(want) > 90
+
+
+def test_probes_answer_queries_in_clusters(spark):
+    """Clusters of near vectors are answered by probes, the rest by reading codes; both as brute force does."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 48))
+    x = np.repeat(centres, 30, axis=0) + 0.02 * rng.standard_normal((600, 48))
+    x = np.vstack([x, rng.standard_normal((400, 48))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, n_asked int")
+    got = {}
+    for r in ann.nearest_neighbours(df, k=10, every=10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.radius))
+    assert sum(near[0][2] is not None for q, near in got.items() if q < 600) >= 50 and all(near[0][2] is None for q, near in got.items() if q >= 600)
+    hits = 0
+    for q, near in got.items():
+        score = x @ x[q]
+        want = [i for i in np.argsort(-score, kind="stable") if i != q][:10]
+        hits += len(set(want) & {v for _, v, _ in near})
+    assert hits >= 0.99 * 10 * len(got)
+
+
+def test_hot_vectors_are_answered_for_each_row(spark, monkeypatch):
+    monkeypatch.setattr(ann, "HOT", 5)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 16))
+    x[:40] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.nearest_neighbours(spark.createDataFrame([*rows, rows[2], rows[55]], "vec_id long, embedding array<double>"), k=5, every=2).collect()
+    near = {}
+    for r in got:
+        near.setdefault((r.query_id, r.rank), []).append(r.vec_id)
+    for q in range(0, 60, 2):
+        score = x @ x[q]
+        order = sorted(range(60), key=lambda i: (-round(score[i], 9), i))
+        # row 2 stands twice and row 55 too: each of its rows is a candidate, and each is a query
+        want = [i for i in order for _ in range(1 + (i in (2, 55))) if i != q][:5]
+        assert [near[q, r] for r in range(1, 6)] == [[v] * (1 + (q == 2)) for v in want], q
 
 
 def plain_dialogues(rows):

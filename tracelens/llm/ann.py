@@ -1,23 +1,23 @@
 """Nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-1. Fit (bounded, documented sample of `FIT_ROWS` vectors with the smallest key hash): vectors are
+1. Fit (bounded, documented sample of the `FIT_ROWS` vectors, or as many as hold `FIT_NUMBERS` numbers, with the smallest key hash): vectors are
    centred, and `BITS` / dimension random rotations are each refined by alternating between signs and
    the best rotation (iterative quantisation), so that codes of BITS bits keep angles.
 2. Rows of equal vectors are one class with its k + 1 smallest ids (no more can be among any
-   nearest k), so a vector that a third of the table shares is searched, and found, once.
-3. Every class is coded. Codes are dealt in blocks of about `BLOCK`; a block keeps, for each of `BITS` / 16
-   substrings, its codes sorted by substring.
-4. Search: by the pigeonhole principle, codes within Hamming radius r differ in at most r // (BITS / 16)
-   bits in some substring. All substring values within that distance are probed (where this means
-   more than the block's codes, the block's codes are read once instead, with the same result), and
-   codes within r stay. The radius of a query grows until `WANT` times k codes are found or the radius covers the space.
-5. Those are ranked by inner product in double precision on the original vectors.
-
-The radius rule keeps a fixed number of candidates per query and block, whatever the block holds.
-Unit and other norms alike: codes rank angles, so vectors whose norm exceeds the median get proportionally more
-room: a block's candidates are taken by Hamming distance and, as many again, by norm-scaled estimate.
-
-Vectors that are null, zero, of another length than the sample's, or hold null or non-finite components take no part. Ties go to
+   nearest k), so a vector that a third of the table shares is searched, and found, once. Every class is coded.
+3. Index: each code is dealt by each of its `N_SUB` substrings, (place, value) being the key. By the pigeonhole
+   principle, codes within Hamming radius N_SUB * (p + 1) - 1 differ in at most p bits in some substring, so a query that
+   asks for all values within p bits of its substrings meets every such code. This is an equi join: nothing is
+   copied but a row for each substring, and queries to `PROBE_BITS` bits' worth of values.
+4. The radius grows with p until a query's k-th best inner product is one that no vector outside the radius is expected to have:
+   its angle would have to be `SIGMAS` standard deviations less than its code says, and its norm the largest.
+   Queries whose probes would touch more than a share `CHEAP` of all codes (and more than `FEW`) don't probe at that radius.
+5. Queries still open take a radius at which probes touch (nearly) every code: codes are read whole, dealt in blocks once, and the
+   queries go to every block. In each block the radius is that of its `want` * k nearest codes, all of which are ranked;
+   where norms differ, as many again by norm-scaled estimate.
+6. All candidates are ranked by inner product in double precision on the original vectors.
+
+Vectors that are null, zero, of another length than most have, or hold null or non-finite components take no part. Ties go to
 the smaller id. Fewer candidates than k: all. Repeated ids: each row is a candidate, and a row is never its own neighbour's
 twin (rows of the query's id are left out). Empty table: empty result. Extra columns are ignored.
 """
@@ -32,9 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, quoted
 
-BITS, SUB, BLOCK, FIT_ROWS, WANT, QUERY_BLOCK = 256, 16, 1 << 15, 20_000, 40, 256
+BITS, SUB, BLOCK, FIT_ROWS, FIT_NUMBERS, WANT = 256, 16, 1 << 13, 20_000, 1 << 21, 20
+N_SUB = BITS // SUB
+#: Bits per substring up to which probes are tried, the share of all codes that they may touch (or how many anyway), the certainty of the stop rule.
+PROBE_BITS, CHEAP, FEW, SIGMAS = 1, 0.05, 4096, 3.0
+#: Queries at once in a block's task, and rows of one class from which on its answers are dealt by salt.
+QUERIES, HOT, SALTS = 512, 1024, 64
+CLASS = ["c1", "c2"]
 
 
 class Codes:
@@ -61,57 +67,18 @@ class Codes:
         return np.packbits(x @ self.turn > 0, axis=1, bitorder="little").view("<u8")
 
 
-def masks_within(radius: int, width: int = SUB) -> np.ndarray:
+def masks_within(radius: int, width: int = SUB) -> list[int]:
     """All substring differences of at most `radius` bits."""
     out = [0]
     for r in range(1, radius + 1):
         out += [sum(1 << i for i in c) for c in combinations(range(width), r)]
-    return np.array(out, np.uint16)
-
-
-class MultiIndex:
-    """Codes of a block, indexed by each substring."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = np.ascontiguousarray(codes)
-        subs = self.codes.view("<u2")
-        self.n_sub = subs.shape[1]
-        self.order = [np.argsort(subs[:, j], kind="stable") for j in range(self.n_sub)]
-        self.keys = [subs[o, j] for j, o in enumerate(self.order)]
-        self.masks = [masks_within(r) for r in range(3)]
-
-    def distances(self, query: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-        return np.bitwise_count((self.codes if at is None else self.codes[at]) ^ query).sum(axis=1, dtype=np.int64)
-
-    def probe(self, query: np.ndarray, per_sub: int) -> np.ndarray | None:
-        """Places of all codes with some substring within `per_sub` bits of the query's; None if reading all codes is cheaper."""
-        if per_sub >= len(self.masks) or len(self.masks[per_sub]) * self.n_sub * 8 > len(self.codes):
-            return None
-        subs = query.view("<u2")
-        found = []
-        for j in range(self.n_sub):
-            want = subs[j] ^ self.masks[per_sub]
-            lo = np.searchsorted(self.keys[j], want, side="left")
-            hi = np.searchsorted(self.keys[j], want, side="right")
-            found += [self.order[j][a:b] for a, b in zip(lo, hi, strict=True) if b > a]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-
-    def nearest(self, query: np.ndarray, want: int) -> np.ndarray:
-        """Places of all codes within the smallest radius that holds `want` codes.
-
-        A probe at p bits per substring finds every code within (p + 1) * n_sub - 1 bits, so the radius may grow to that."""
-        want = min(want, len(self.codes))
-        for p in range(SUB + 1):
-            at = self.probe(query, p)
-            if at is None:
-                break
-            d = self.distances(query, at)
-            whole = d < (p + 1) * self.n_sub
-            if whole.sum() >= want:
-                r = np.partition(d[whole], want - 1)[want - 1]
-                return at[d <= r]
-        d = self.distances(query)
-        return np.flatnonzero(d <= np.partition(d, want - 1)[want - 1])
+    return out
+
+
+def least_angle(radius: int) -> float:
+    """The angle that vectors whose codes differ in more than `radius` bits are not expected to fall below."""
+    share = radius / BITS
+    return np.pi * max(0.0, share - SIGMAS * np.sqrt(share * (1 - share) / BITS))
 
 
 def valid(v: Column) -> Column:
@@ -119,86 +86,210 @@ def valid(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def search_block(codes: Codes, index: MultiIndex, vectors: np.ndarray, queries: np.ndarray, k: int, want: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places and scores of the best `k` of the block, best first; ties of the k-th score all stay."""
-    out = []
-    longest = np.argsort(-np.linalg.norm(vectors, axis=1), kind="stable")[:want]
-    scaled = np.ptp(np.linalg.norm(vectors, axis=1)) > 1e-3 * np.linalg.norm(vectors[longest[0]]) if len(vectors) else False
-    for q, c in zip(queries, codes.code(queries), strict=True):
-        at = index.nearest(c, want)
-        if scaled:
-            angle = np.cos(np.minimum(index.distances(c) / BITS * np.pi, np.pi))
-            guess = angle * np.linalg.norm(vectors, axis=1)
-            more = min(want, len(guess))
-            at = np.union1d(at, np.argpartition(-guess, more - 1)[:more])
-        score = (vectors[at] * q).sum(axis=1)
-        if len(at) > k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            at, score = at[keep], score[keep]
-        out.append((at, score))
-    return out
+def with_codes(rows: DataFrame, codes, dim: int) -> DataFrame:
+    """Adds code (BITS bits as an array of longs) to rows with a vector v."""
+    schema = rows.schema.simpleString()[len("struct<") : -1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = codes.value.code(_matrix(b.column("v"), dim)).view("<i8")
+            column = pa.ListArray.from_arrays(np.arange(0, code.size + 1, code.shape[1], dtype=np.int32), pa.array(code.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, "code"])
+
+    return rows.mapInArrow(run, f"{schema},code:array<bigint>")
+
+
+def substrings(code: Column) -> Column:
+    """array<int> of a code's N_SUB substrings."""
+    of = lambda x, i: F.shiftrightunsigned(x, i * SUB).bitwiseAND(F.lit((1 << SUB) - 1)).cast("int")
+    return F.flatten(F.transform(code, lambda x: F.array(*[of(x, i) for i in range(64 // SUB)])))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Hamming distance of two codes."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def probed(queries: DataFrame, coded: DataFrame, p: int, n_codes: int) -> DataFrame:
+    """(q1, q2, qv, c1, c2): for queries that may probe at `p` bits, each with all classes within the radius N_SUB * (p + 1) - 1."""
+    index = coded.select(*CLASS, "code", F.posexplode(substrings(F.col("code"))).alias("j", "value"))
+    masks = F.array(*[F.lit(m) for m in masks_within(p)])
+    asked = queries.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("code").alias("q_code"), F.posexplode(substrings(F.col("code"))).alias("j", "own"))
+    asked = asked.withColumn("mask", F.explode(masks)).withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
+    # what each query's probes would touch, from the sizes of buckets
+    sizes = index.groupBy("j", "value").agg(F.count(F.lit(1)).alias("n"))
+    touched = asked.select("q1", "q2", "j", "value").join(sizes, ["j", "value"]).groupBy("q1", "q2").agg(F.sum("n").alias("n"))
+    may = touched.where(F.col("n") <= max(FEW, CHEAP * n_codes)).select("q1", "q2")
+    radius = N_SUB * (p + 1) - 1
+    pairs = asked.join(may, ["q1", "q2"], "left_semi").join(index, ["j", "value"]).where(distance(F.col("q_code"), F.col("code")) <= radius)
+    return pairs.select("q1", "q2", *CLASS).distinct()
+
+
+def scored(pairs: DataFrame, queries: DataFrame, coded: DataFrame, dim: int) -> DataFrame:
+    """(q1, q2, vec_id, m, score): the ids of pairs, how often they stand, and the inner product."""
+    q = queries.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("v").alias("qv"))
+    both = pairs.join(q, ["q1", "q2"]).join(coded.select(*CLASS, "v", F.arrays_zip("ids", "times").alias("ids")), CLASS).select("q1", "q2", "ids", "qv", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = (_matrix(b.column("qv"), dim) * _matrix(b.column("v"), dim)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("q1"), b.column("q2"), b.column("ids"), pa.array(score, pa.float64())], names=["q1", "q2", "ids", "score"])
+
+    out = both.mapInArrow(run, "q1 long, q2 long, ids array<struct<ids:long,times:int>>, score double").withColumn("x", F.explode("ids"))
+    return out.select("q1", "q2", F.col("x.ids").alias("vec_id"), F.col("x.times").alias("m"), "score")
+
+
+class Block:
+    """Codes of a block, with all that ranking needs."""
+
+    def __init__(self, vectors: np.ndarray, code: np.ndarray):
+        self.vectors, self.signs = vectors, _signs(code)
+        self.norms = np.linalg.norm(vectors, axis=1)
+        self.uneven = bool(np.ptp(self.norms) > 1e-3 * self.norms.max())
+        self.cosines = np.cos(np.pi * np.arange(BITS + 1) / BITS).astype(np.float32)
+
+    def nearest(self, queries: np.ndarray, code: np.ndarray, want: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and scores of the best `k` of the block; ties of the k-th score all stay."""
+        want = min(want, len(self.vectors))
+        far = ((BITS - _signs(code) @ self.signs.T) / 2).astype(np.int16)
+        radius = np.partition(far, want - 1, axis=1)[:, want - 1]
+        for row, r, q in zip(far, radius, queries, strict=True):
+            take = row <= r
+            if self.uneven:
+                guess = self.cosines[row] * self.norms
+                take |= guess >= np.partition(guess, len(guess) - want)[len(guess) - want]
+            at = np.flatnonzero(take)
+            score = (self.vectors[at] * q).sum(axis=1)
+            if len(at) > k:
+                keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+                at, score = at[keep], score[keep]
+            yield at, score
+
+
+def scanned(queries: DataFrame, coded: DataFrame, n_codes: int, dim: int, k: int, want: int) -> DataFrame:
+    """(q1, q2, vec_id, m, score) of the best k of each block of codes for each query. Codes are dealt once; queries go to each block."""
+    n_blocks = max(1, -(-n_codes // BLOCK))
+    none = F.lit(None)
+    left = coded.select(F.pmod("c1", F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("role"), *CLASS, "v", "code", "ids", "times")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("role"), *CLASS, "v", "code", none.cast("array<bigint>").alias("ids"), none.cast("array<int>").alias("times"))
+    rows = left.unionByName(right).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "role")
+    schema = pa.schema([("q1", pa.int64()), ("q2", pa.int64()), ("vec_id", pa.int64()), ("m", pa.int32()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        block, ids, times, at = None, [], [], None
+
+        def answers(b: pa.RecordBatch) -> pa.RecordBatch:
+            q1, q2 = b.column("c1").to_numpy(), b.column("c2").to_numpy()
+            out: list[np.ndarray] = []
+            vec, m, score = [], [], []
+            for i, (places, scores) in enumerate(block.nearest(_matrix(b.column("v"), dim), _codes(b.column("code")), want * k, k)):
+                lists = [ids[p] for p in places.tolist()]
+                vec += [x for one in lists for x in one]
+                m += [x for p in places.tolist() for x in times[p]]
+                sizes = [len(one) for one in lists]
+                score.append(np.repeat(scores, sizes))
+                out.append(np.full(sum(sizes), i))
+            take = np.concatenate(out)
+            return pa.RecordBatch.from_arrays([pa.array(q1[take]), pa.array(q2[take]), pa.array(vec, pa.int64()), pa.array(m, pa.int32()), pa.array(np.concatenate(score))], schema=schema)
+
+        for whole in batches:
+            start = 0
+            blocks, roles = whole.column("block").to_numpy(), whole.column("role").to_numpy()
+            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(roles) != 0)) + 1
+            for end in [*cuts.tolist(), whole.num_rows]:
+                b, start = whole.slice(start, end - start), end
+                if not b.num_rows:
+                    continue
+                number, role = int(b.column("block")[0].as_py()), int(b.column("role")[0].as_py())
+                if number != at:
+                    at, held, block = number, [], None
+                if role == 0:
+                    held.append(b)
+                    continue
+                if block is None:
+                    if not held:
+                        continue
+                    block = Block(np.vstack([_matrix(h.column("v"), dim) for h in held]), np.vstack([_codes(h.column("code")) for h in held]))
+                    ids, times = ([x for h in held for x in h.column(c).to_pylist()] for c in ("ids", "times"))
+                    held = []
+                for i in range(0, b.num_rows, QUERIES):
+                    yield answers(b.slice(i, QUERIES))
+
+    return rows.mapInArrow(run, "q1 long, q2 long, vec_id long, m int, score double")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The best k + 1 of each query class: rank n, ties to the smaller id."""
+    best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, want: int = WANT, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest of each row whose key is divisible by `every`."""
-    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("id is not null").where(valid(F.col("v")))
+    """query_id, rank, vec_id, score, radius of the k nearest of each row whose key is divisible by `every`; `radius` is that of the probes that
+    answered the query (null where it took codes whole)."""
+    rows = vectors.select(quoted(key).cast("long").alias("id"), quoted(vector).cast("array<double>").alias("v")).where("id is not null").where(valid(F.col("v")))
     spark = vectors.sparkSession
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], empty)
-    dims = [len(r["v"]) for r in sample]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d))
-    codes = spark.sparkContext.broadcast(Codes(np.array([r["v"] for r in sample if len(r["v"]) == dim])))  # dim * BITS numbers
-
-    # classes of equal vectors; the first k + 1 ids of each (others can't be among any k nearest)
-    rows = rows.where(F.size("v") == dim).withColumn("class", F.xxhash64("v"))
-    by_class = Window.partitionBy("class", "v").orderBy("id")
-    kept = checkpointed(rows.withColumn("n", F.row_number().over(by_class)).where(F.col("n") <= k + 1).groupBy("class", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "class", "v")
-    wanted = asked.groupBy("class", "v").agg(F.count(F.lit(1)).alias("n")).select("class", "v")
-    n_blocks = max(1, -(-kept.count() // BLOCK))
-
-    # each block meets the distinct query vectors in query blocks; a group is one block with one query block
-    query_blocks = max(1, -(-wanted.count() // (QUERY_BLOCK * 16)))
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(query_blocks - 1)), lambda i: i)
-    side_a = kept.select(F.pmod(F.hash("class"), F.lit(n_blocks)).alias("block"), F.explode(blocks).alias("qb"), "class", "v", "ids")
-    side_b = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.xxhash64("class"), F.lit(query_blocks)).cast("int").alias("qb"), "class", "v")
-
-    def search(_key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]):
-        a, b = _table(left, ["class", "v", "ids"]), _table(right, ["class", "v"])
-        schema = pa.schema([("class", pa.int64()), ("v", pa.list_(pa.float64())), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not a.num_rows or not b.num_rows:
-            return pa.Table.from_pylist([], schema)
-        x, q = _matrix(a["v"], dim), _matrix(b["v"], dim)
-        ids = a["ids"].to_pylist()
-        c = codes.value
-        index = MultiIndex(c.code(x))
-        out: dict[str, list] = {"q": [], "vec_id": [], "score": []}
-        for i, (at, score) in enumerate(search_block(c, index, x, q, k + 1, want * k)):
-            for p, s in zip(at.tolist(), score.tolist(), strict=True):
-                out["q"] += [i] * len(ids[p])
-                out["vec_id"] += ids[p]
-                out["score"] += [s] * len(ids[p])
-        take = pa.array(out["q"], pa.int64())
-        return pa.table({"class": b["class"].combine_chunks().take(take), "v": b["v"].combine_chunks().take(take), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    def one(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return search(_key, left.to_batches(), right.to_batches())
-
-    found = side_a.groupBy("block", "qb").cogroup(side_b.groupBy("block", "qb")).applyInArrow(one, "class long, v array<double>, vec_id long, score double")
-    best = Window.partitionBy("class", "v").orderBy(F.desc("score"), "vec_id")
-    top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    common = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if not common:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, radius int")
+    dim = common["dim"]
+    rows = rows.where(F.size("v") == dim)
+    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(max(dim, min(FIT_ROWS, FIT_NUMBERS // dim))).select("v").collect()
+    codes = spark.sparkContext.broadcast(Codes(np.array([r["v"] for r in sample])))  # dim * BITS numbers
+
+    # classes of equal vectors under a 128-bit name; the first k + 1 ids of each, with how often they stand (others can't be among any k nearest)
+    rows = rows.select("id", F.xxhash64("v").alias("c1"), F.xxhash64(F.lit(1), F.reverse("v")).alias("c2"), "v")
+    by_class = Window.partitionBy(*CLASS).orderBy("id")
+    ids = rows.groupBy(*CLASS, "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("m"))
+    ids = ids.withColumn("n", F.row_number().over(by_class)).where(F.col("n") <= k + 1)
+    ids = ids.groupBy(*CLASS).agg(F.sort_array(F.collect_list(F.struct("id", "m"))).alias("x")).select(*CLASS, F.col("x.id").alias("ids"), F.col("x.m").alias("times"))
+    kept = rows.groupBy(*CLASS).agg(F.first("v").alias("v")).join(ids, CLASS)
+    coded = checkpointed(with_codes(kept, codes, dim))
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", *CLASS)
+    wanted = asked.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n_asked"))
+    queries = checkpointed(coded.select(*CLASS, "v", "code").join(wanted, CLASS))
+    n_codes = coded.count()
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    longest = coded.agg(F.max(norm)).first()[0]
+
+    done, todo = [], queries
+    for p in range(PROBE_BITS + 1):
+        radius = N_SUB * (p + 1) - 1
+        top = best_of(scored(probed(todo, coded, p, n_codes), todo, coded, dim), k)
+        last = top.where(F.col("n") == k + 1).select(F.col("q1").alias("c1"), F.col("q2").alias("c2"), F.col("score").alias("last"))
+        bound = norm * float(longest * np.cos(least_angle(radius)))
+        sure = checkpointed(todo.join(last, CLASS).where(F.col("last") >= bound).select(F.col("c1").alias("q1"), F.col("c2").alias("q2")))
+        if not sure.isEmpty():
+            done.append(checkpointed(top.join(sure, ["q1", "q2"], "left_semi").withColumn("radius", F.lit(radius))))
+            todo = checkpointed(todo.join(sure, (F.col("c1") == F.col("q1")) & (F.col("c2") == F.col("q2")), "left_anti"))
+    top = best_of(scanned(todo, coded, n_codes, dim, k + 1, want), k).withColumn("radius", F.lit(None).cast("int"))
+    for part in done:
+        top = top.unionByName(part)
     # one row per class; every query of the class gets its own list, without itself
-    lists = top.groupBy("class", "v").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
-    answers = asked.join(lists, ["class", "v"]).select(F.col("id").alias("query_id"), F.filter("near", lambda s: s["vec_id"] != F.col("id")).alias("near"))
-    return answers.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("pos", "s")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"))
+    near = F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "m"))).alias("near")
+    lists = top.groupBy("q1", "q2").agg(near, F.max("radius").alias("radius")).withColumnsRenamed({"q1": "c1", "q2": "c2"})
+    lists = lists.join(queries.select(*CLASS, "n_asked"), CLASS)
+    # a class that many queries share is dealt by salt
+    hot = queries.where(F.col("n_asked") >= HOT).select(*CLASS, F.lit(True).alias("hot"))
+    few = hot.limit(100_001).count() <= 100_000
+    asked = asked.join(F.broadcast(hot) if few else hot, CLASS, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n_asked") >= HOT, SALTS - 1).otherwise(0).cast("long")))).drop("n_asked")
+    answers = asked.join(lists, [*CLASS, "salt"]).select(F.col("id").alias("query_id"), F.filter("near", lambda s: s["vec_id"] != F.col("id")).alias("near"), "radius")
+    answers = answers.withColumn("near", F.flatten(F.transform("near", lambda s: F.array_repeat(s, s["m"]))))
+    answers = answers.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("pos", "s"), "radius")
+    return answers.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"), "radius")
+
+
+def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _table(batches, names: list[str]) -> pa.Table:
-    return pa.Table.from_batches(list(batches)).select(names)
+def _codes(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, BITS // 64)
 
 
-def _matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = col.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _signs(code: np.ndarray) -> np.ndarray:
+    """Bits of codes as -1 and 1."""
+    bits = np.unpackbits(np.ascontiguousarray(code).view(np.uint8), axis=1, bitorder="little")
+    return bits.astype(np.float32) * 2 - 1
