@@ -191,8 +191,9 @@ def test_queries_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path
 
-    from tracelens.plans import queries
+    from tracelens.plans import more, queries
 
+    assert more.scratch  # importing it registers its queries
     d = Path("/root/testdata/sf0.001")
     if not d.exists():
         pytest.skip("no tables here")

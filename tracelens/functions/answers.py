@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .text import LINE_END, SPACE, let, squash, strip
 
@@ -57,6 +59,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_each(s: pd.Series) -> pd.Series:
+    """Compatibility forms folded in each text of an array; lambdas can't hold `nfkc`."""
+    return s.map(lambda a: None if a is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in a])
+
+
 def _passes(c: Column, n: int, step) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), c, lambda acc, _: step(acc))
 

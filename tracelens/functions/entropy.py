@@ -55,6 +55,11 @@ def step_stats(values: Column) -> Column:
     return let(finite_only(values), lambda v: let(F.struct(v.alias("v"), F.size(v).alias("n"), F.when(F.size(v) > 0, _sum(v) / F.size(v)).alias("mean")), of))
 
 
+def entropy_summary(values: Column) -> Column:
+    """[A30] struct<mean, max> of the finite values; NaN for none."""
+    return let(step_stats(values), lambda s: F.struct(s["mean"].alias("mean"), s["max"].alias("max")))
+
+
 def mean_known(values: Column) -> Column:
     """[A3 A4] Mean of the values that aren't null; null for none."""
     return let(F.filter(values, lambda x: x.isNotNull()), lambda v: F.when(F.size(v) > 0, _sum(v) / F.size(v)))

@@ -21,6 +21,14 @@ SFT_TASK = (
     "<final_verdict>Yes</final_verdict>\n"
     "<final_verdict>No</final_verdict>"
 )
+#: Fixed texts of the tool list of a chat.
+TOOLS_HEAD = "\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+TOOLS_TAIL = (
+    "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n"
+    '<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call><|im_end|>\n'
+)
+#: Fixed text: how the chat form of a clean teacher row ends.
+CHAT_TASK = "Please verify the candidate solution step by step and end with:\nVerification: Is the answer correct (Yes/No)? X"
 #: Fixed alias lists: prompt field, columns that may hold it, default.
 FIELDS = {
     "question": (["question", "problem", "prompt"], ""),
@@ -36,17 +44,17 @@ def message(role: str | Column, content: Column) -> Column:
     return F.struct((role if isinstance(role, Column) else F.lit(role)).alias("role"), content.alias("content"))
 
 
-def verify_request(question: Column, candidate: Column) -> Column:
+def verify_request(question: Column, candidate: Column, task: str = VERIFY) -> Column:
     """[P23] The user's text of a verification task."""
-    return F.concat(F.lit("Question:\n"), F.coalesce(question, F.lit("")), F.lit("\n\nCandidate Solution:\n"), F.coalesce(candidate, F.lit("")), F.lit(f"\n\n{VERIFY}"))
+    return F.concat(F.lit("Question:\n"), F.coalesce(question, F.lit("")), F.lit("\n\nCandidate Solution:\n"), F.coalesce(candidate, F.lit("")), F.lit(f"\n\n{task}"))
 
 
-def verify_messages(question: Column, candidate: Column, rationale: Column, verdict: Column, given: Column | None = None) -> Column:
+def verify_messages(question: Column, candidate: Column, rationale: Column, verdict: Column, given: Column | None = None, task: str = VERIFY) -> Column:
     """[P22] User and assistant message; the verdict line is added where the rationale lacks it. `given` messages of two or more pass through."""
     r = F.coalesce(rationale, F.lit(""))
     lacks = (F.coalesce(verdict, F.lit("")) != "") & ~r.contains("Verification: Is the answer correct")
     answer = F.when(lacks, F.concat(F.regexp_replace(r, r"(?U)[\s\x1c-\x1f]+$", ""), F.lit("\n" + VERDICT_LINE), verdict)).otherwise(r)
-    made = F.array(message("user", verify_request(question, candidate)), message("assistant", answer))
+    made = F.array(message("user", verify_request(question, candidate, task)), message("assistant", answer))
     return made if given is None else F.when(F.size(given) >= 2, given).otherwise(made)
 
 
@@ -56,12 +64,8 @@ def chat(messages: Column, generate: bool = False, tools: Column | None = None,
     system = F.when(messages[0]["role"] == "system", messages[0]["content"]).otherwise(F.lit(DEFAULT_SYSTEM))
     head = F.concat(F.lit("<|im_start|>system\n"), system, F.lit("<|im_end|>\n"))
     if tools is not None:
-        listed = F.concat(
-            F.lit("<|im_start|>system\n"), system,
-            F.lit("\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"),
-            F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), t)), ""),
-            F.lit('\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call><|im_end|>\n'),
-        )
+        names = F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), t)), "")
+        listed = F.concat(F.lit("<|im_start|>system\n"), system, F.lit(TOOLS_HEAD), names, F.lit(TOOLS_TAIL))
         head = F.when(F.size(tools) > 0, listed).otherwise(head)
 
     def turn(m: Column, i: Column) -> Column:
@@ -86,6 +90,13 @@ def chat(messages: Column, generate: bool = False, tools: Column | None = None,
     return F.concat(head, body, F.lit("<|im_start|>assistant\n" if generate else ""))
 
 
+def chat_rows(clean: DataFrame) -> DataFrame:
+    """[D6, by its description] Clean teacher rows as chats: id, messages, and metadata of role and verdict."""
+    m = verify_messages(F.col("question"), F.col("candidate_solution"), F.col("verification_rationale"), F.col("final_verdict"), task=CHAT_TASK)
+    meta = F.create_map(F.lit("candidate_role"), F.col("candidate_role"), F.lit("final_verdict"), F.col("final_verdict"))
+    return clean.select("id", m.alias("messages"), meta.alias("metadata"))
+
+
 def plain_chat(user: Column) -> Column:
     """[P25]"""
     return F.concat(F.lit("### User:\n"), user, F.lit("\n\n### Assistant:\n"))
@@ -120,4 +131,4 @@ def sft_example(question: Column, clean: Column, raw: Column, predicted: Column,
     return F.struct(prompt.alias("prompt"), F.concat(F.lit("<final_verdict>"), label, F.lit("</final_verdict>")).alias("completion"), label.alias("label"))
 
 
-__all__ = ["chat", "fill", "message", "plain_chat", "question_messages", "sft_example", "verify_messages", "verify_request"]
+__all__ = ["chat", "chat_rows", "fill", "message", "plain_chat", "question_messages", "sft_example", "verify_messages", "verify_request"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bool_from_any, squash, strip
+from .text import squash, strip
 
 #: Fixed patterns of verdict lines, by priority.
 TEACHER = (
@@ -71,6 +71,7 @@ def has_format(c: Column) -> Column:
     return F.coalesce(c.rlike(r"(?iU)Verification:\s*Is the answer correct"), F.lit(False))
 
 
+#: Fixed label keys, in order.
 LABEL_KEYS = ("gold_is_correct", "is_correct", "candidate_is_correct")
 
 
@@ -123,7 +124,3 @@ TRANSITIONS = {(True, True): "Both correct", (True, False): "A correct, B broke"
 def transition(a: Column, b: Column) -> Column:
     """[P31]"""
     return F.when(a & b, TRANSITIONS[True, True]).when(a, TRANSITIONS[True, False]).when(b, TRANSITIONS[False, True]).otherwise(TRANSITIONS[False, False])
-
-
-def label_flag(c: Column) -> Column:
-    return bool_from_any(c)

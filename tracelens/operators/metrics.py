@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import score_form
+from ..functions.text import is_blank, strip
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(empty).cast("double"))
@@ -44,15 +47,47 @@ def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
     return t.select("*", *[ratio(F.col(f"n_{v}") * 100.0, total).alias(f"pct_{v}") for v in values])
 
 
-def oracle_any(df: DataFrame, q: str = "q", ok: str = "ok", pos: str = "pos") -> DataFrame:
-    """[A17 A18 A19 A33] Best-of-n accuracy, accuracy of the first candidate, and mean and deviation of a random choice, exactly."""
-    per = df.groupBy(q).agg(F.bool_or(ok).alias("any_ok"), F.min_by(ok, pos).alias("first_ok"), F.avg(F.col(ok).cast("double")).alias("p"))
+def oracle_any(df: DataFrame, q: str = "q", ok: str = "ok", index: str = "idx") -> DataFrame:
+    """[A17 A18 A19 A33] Best-of-n accuracy, share of questions with a right candidate of index 0, and mean and deviation of a random choice, exactly.
+
+    An index counts as 0 if its text is `0`. Without any question all are 0."""
+    first = F.bool_or(F.col(ok) & F.coalesce(F.col(index).cast("string") == "0", F.lit(False)))
+    per = df.groupBy(q).agg(F.bool_or(ok).alias("any_ok"), F.coalesce(first, F.lit(False)).alias("first_ok"), F.avg(F.col(ok).cast("double")).alias("p"))
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     return per.agg(
-        F.count(F.lit(1)).alias("n_questions"), F.avg(F.col("any_ok").cast("double")).alias("oracle"), F.avg(F.col("first_ok").cast("double")).alias("pass_at_1"), F.avg("p").alias("random_mean"),
-        (F.sqrt(F.sum(F.col("p") * (1 - F.col("p")))) / F.count(F.lit(1))).alias("random_std"),
+        F.count(F.lit(1)).alias("n_questions"), mean(F.col("any_ok").cast("double")).alias("oracle"), mean(F.col("first_ok").cast("double")).alias("pass_at_1"), mean("p").alias("random_mean"),
+        F.coalesce(F.sqrt(F.sum(F.col("p") * (1 - F.col("p")))) / F.count(F.lit(1)), F.lit(0.0)).alias("random_std"),
     )
 
 
+def first_candidate(candidates: DataFrame, q: str = "q", index: str = "idx", pos: str = "pos", pred: str = "pred") -> DataFrame:
+    """q, first: the prediction of each question's candidate of index 0, else of its first candidate."""
+    order = F.struct(~F.coalesce(F.col(index) == 0, F.lit(False)), F.col(pos))
+    return candidates.groupBy(q).agg(F.min_by(F.coalesce(pred, F.lit("")), order).alias("first"))
+
+
+def filled_direct(samples: DataFrame, candidates: DataFrame, q: str = "q", direct: str = "direct", **names: str) -> DataFrame:
+    """[H11] Samples whose empty direct prediction is filled from candidate 0; `filled` marks them."""
+    first = first_candidate(candidates, q, **names).withColumnRenamed("first", "_first")
+    empty = F.coalesce(F.col(direct), F.lit("")) == ""
+    use = empty & ~is_blank(F.col("_first"))
+    out = samples.join(first, q, "left").withColumn("filled", use)
+    return out.withColumn(direct, F.when(F.col("filled"), strip(F.col("_first"))).otherwise(F.col(direct))).drop("_first")
+
+
+def direct_accuracy(samples: DataFrame, gold: str = "gold", direct: str = "direct") -> DataFrame:
+    """[A1] Accuracy over the rows with a direct prediction, by scoring normal forms; null if there is none."""
+    kept = samples.where(F.coalesce(F.col(direct), F.lit("")) != "")
+    return kept.agg(F.avg((score_form(F.col(gold)) == score_form(F.col(direct))).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def cot_accuracy(samples: DataFrame, candidates: DataFrame, q: str = "q", gold: str = "gold", **names: str) -> DataFrame:
+    """[A2] Accuracy of candidate 0 (else the first) over the questions with candidates; 0 if there is none."""
+    both = samples.select(q, gold).join(first_candidate(candidates, q, **names), q)
+    right = (score_form(F.col(gold)) == score_form(F.col("first"))).cast("double")
+    return both.agg(F.coalesce(F.avg(right), F.lit(0.0)).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
 def parse_metrics(df: DataFrame, pred: Column, gold: Column, formatted: Column) -> DataFrame:
     """[A22 A27] Parse rate, format rate, accuracy with unparsed as wrong, and among parsed."""
     n = F.greatest(F.lit(1), F.count(F.lit(1)))

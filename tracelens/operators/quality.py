@@ -147,3 +147,28 @@ def final_report(df: DataFrame, q: str, text: str, verdict: str, source: str) ->
         F.count_if(F.coalesce(F.col(verdict) == "No", F.lit(False))).alias("no"), F.count_if(~F.coalesce(F.col(verdict).isin("Yes", "No"), F.lit(False))).alias("bad_verdicts"), F.count_distinct(source).alias("sources"),
         F.avg(F.length(text)).alias("mean_chars"),
     )
+
+
+def with_verdict(df: DataFrame, verdict: str = "verdict") -> DataFrame:
+    """Rows that have a verdict."""
+    return df.where(F.col(verdict).isNotNull())
+
+
+def false_positives(df: DataFrame, verdict: str = "verdict", gold: str = "gold") -> DataFrame:
+    """Rows judged Yes that are wrong."""
+    return df.where((F.col(verdict) == "Yes") & ~F.col(gold))
+
+
+def false_negatives(df: DataFrame, verdict: str = "verdict", gold: str = "gold") -> DataFrame:
+    """Rows judged No that are right."""
+    return df.where((F.col(verdict) == "No") & F.col(gold))
+
+
+def wrong_only(df: DataFrame, gold: str = "gold") -> DataFrame:
+    """Rows that are wrong."""
+    return df.where(~F.col(gold))
+
+
+def by_teacher(df: DataFrame, part: str = "kimi", teacher: str = "teacher_model") -> DataFrame:
+    """Rows whose teacher's name holds `part`, in any case of letters; rows without a name go."""
+    return df.where(F.coalesce(F.lower(F.col(teacher)).contains(part.lower()), F.lit(False)))

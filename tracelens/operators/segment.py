@@ -71,7 +71,7 @@ def token_span(s: Column, e: Column, n_chars: Column, n_tokens: Column) -> Colum
     """[G5] struct<t0, t1>: characters to tokens in proportion, floor and ceiling, kept in range, widened by a token if empty.
 
     An empty character span gives an empty token span at the nearest token (halves to even)."""
-    s, e = F.greatest(F.lit(0), F.least(s, n_chars)), F.greatest(F.lit(0), F.least(e, n_chars))
+    s, e = (F.greatest(F.lit(0), F.least(x, n_chars)).cast("long") for x in (s, e))  # products of two lengths don't fit an int
     pair = lambda a, b: F.struct(a.cast("int").alias("t0"), b.cast("int").alias("t1"))
     mid = F.least(n_tokens, F.greatest(F.lit(0), F.bround(s * n_tokens / n_chars, 0).cast("int")))
     t0 = F.least(n_tokens, F.floor(s * n_tokens / n_chars).cast("int"))
@@ -83,14 +83,17 @@ def token_span(s: Column, e: Column, n_chars: Column, n_tokens: Column) -> Colum
 def step_features(spans: Column, entropies: Column, n_chars: Column) -> Column:
     """[G6 J10] Steps with token range and entropy statistics; without tokens (0, 0) and NaN."""
 
-    def step(x: Column) -> Column:
-        n = F.size(entropies)
-        t = token_span(x["s"], x["e"], n_chars, n)
-        lo, hi = F.when(n > 0, t["t0"]).otherwise(0), F.when(n > 0, t["t1"]).otherwise(0)
-        st = step_stats(F.slice(entropies, lo + 1, F.greatest(hi - lo, F.lit(0))))
-        return F.struct(lo.alias("start_token"), hi.alias("end_token"), st["mean"].alias("mean_entropy"), st["max"].alias("max_entropy"), st["min"].alias("min_entropy"), st["std"].alias("std_entropy"))
+    def step(e: Column, x: Column) -> Column:
+        n = F.size(e)
+        none = F.struct(F.lit(0).alias("t0"), F.lit(0).alias("t1"))
 
-    return F.transform(spans, step)
+        def of(t: Column) -> Column:
+            stats = lambda st: F.struct(t["t0"].alias("start_token"), t["t1"].alias("end_token"), *[st[k].alias(f"{k}_entropy") for k in ("mean", "max", "min", "std")])
+            return let(step_stats(F.slice(e, t["t0"] + 1, F.greatest(t["t1"] - t["t0"], F.lit(0)))), stats)
+
+        return let(F.when(n > 0, token_span(x["s"], x["e"], n_chars, n)).otherwise(none), of)
+
+    return let(entropies, lambda e: F.transform(spans, lambda x: step(e, x)))
 
 
 def segment(text: Column, entropies: Column) -> Column:
