@@ -12,7 +12,7 @@
 4. Confirmation: intersection and union of the full shingle sets.
 5. Components by alternating large and small stars over the links (tables, no driver).
 6. Representatives whose buckets have the same smallest key are a group. Groups that now hold more than one
-   component are looked through for links across them: a group is dealt in blocks, and a task compares the
+   component are looked through for links across them: a group is dealt in blocks, large components apart, and a task compares the
    signatures of two blocks by bit counts. Texts follow only of members that meet a possible partner of another component; such
    pairs are confirmed on full sets, likeliest first. A link joins the two components for the rest of the task, and only
    such links come out: fewer than the task has rows. Then 5 again, on components.
@@ -33,13 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, checkpointed, drop_path, mix64, quoted, shared_path, shingle_set, word_list
 
 BANDS, ROWS, BITS, SLICE = 38, 5, 4, 2048
-BLOCK, SALTS = 512, 32
+BLOCK, SALTS = 256, 32
 _SIZE = BANDS * ROWS + 63 & ~63  # whole words of bits
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _MUL = _rng.integers(0, 1 << 32, _SIZE, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -236,14 +236,38 @@ def block_rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> I
         yield held
 
 
+def groups_in_blocks(placed: DataFrame) -> DataFrame:
+    """g, small, blocks, large: the groups of more than one component (and two members), with how their members are cut into blocks.
+
+    A component of `BLOCK` members or more has blocks of its own, `n` from number `first` on (`large` has a struct for each);
+    members of the others share the first `small` blocks."""
+    sizes = checkpointed(placed.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")))
+    mixed = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("n_components"), F.sum("n").alias("n"), F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("rest"))
+    mixed = mixed.where("n_components > 1 and n > 2").select("g", F.ceil(F.col("rest") / BLOCK).cast("int").alias("small"))
+    # a group has at most one large component for each BLOCK of its members
+    large = sizes.where(F.col("n") >= BLOCK).join(mixed, "g").withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
+    large = large.withColumn("first", (F.col("small") + F.coalesce(before, F.lit(0))).cast("int"))
+    large = large.groupBy("g").agg(F.collect_list(F.struct("c", "first", "n")).alias("large"))
+    none = F.array().cast("array<struct<c:bigint,first:int,n:int>>")
+    out = mixed.join(large, "g", "left").withColumn("large", F.coalesce("large", none))
+    return out.withColumn("blocks", F.col("small") + F.aggregate("large", F.lit(0), lambda x, y: x + y["n"]))
+
+
 def meeting(members: DataFrame, threshold: float) -> DataFrame:
     """g, i, j, k, c, n_shingles, sig, block: the members that meet one of another component that they may be linked with, for each pair of blocks.
 
-    `members`: g, k, c, n (members of g), n_shingles, sig. A group's members are cut into blocks by hash, and a task compares
-    the signatures of two blocks; texts aren't needed yet."""
-    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    `members`: g, k, c, n_shingles, sig, and the group's small, blocks, large. A task compares the signatures of two blocks; texts aren't needed
+    yet. Blocks of one and the same large component don't meet."""
+    own = F.get(F.filter("large", lambda x: x["c"] == F.col("c")), F.lit(0))
+    dealt = members.withColumn("own", own).drop("large")
+    block = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("k"), F.greatest("small", F.lit(1)))).otherwise(F.col("own.first") + F.pmod(F.xxhash64("k"), F.coalesce("own.n", F.lit(1))))
+    dealt = dealt.withColumn("block", block.cast("int"))
+    some = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    others = F.concat(some(F.lit(0), F.col("own.first") - 1), some(F.col("own.first") + F.col("own.n"), F.col("blocks") - 1))
+    met = F.when(F.col("own").isNull(), some(F.lit(0), F.col("blocks") - 1)).otherwise(others)
     # a block goes to the tasks of (larger block, smaller block) that it is one of
-    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.greatest("block", j).alias("i"), F.least("block", j).alias("j")))
+    to = F.transform(met, lambda j: F.struct(F.greatest("block", j).alias("i"), F.least("block", j).alias("j")))
     columns = ("g", "i", "j", "k", "c", "n_shingles", "sig", "block")
     rows = dealt.withColumn("to", F.explode(to)).select("g", "to.i", "to.j", "k", "c", "n_shingles", "sig", "block")
     schema = pa.schema(list(zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)))
@@ -320,10 +344,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
 
     # groups of more than one component: links across them. A group's members meet it by salt, as it may have very many
     placed = checkpointed(mates.select(F.col("b").alias("g"), "k").distinct().join(comp, "k", "left").select("g", "k", F.coalesce("c", "k").alias("c")))
-    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("g", "n")
-    salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = groups_in_blocks(placed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     members = placed.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(salted, ["g", "salt"])
-    members = checkpointed(members.select("g", "k", "c", "n"))
+    members = checkpointed(members.drop("salt"))
     if not members.isEmpty():
         met = checkpointed(meeting(members.join(reps.select("k", "n_shingles", "sig"), "k"), threshold))
         more = checkpointed(across(met.join(texts, "k"), threshold, percent, width))
