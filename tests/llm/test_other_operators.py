@@ -84,7 +84,7 @@ def test_probes_find_all_within_a_radius(spark, p, monkeypatch):
     x[150:] = x[:150] + rng.standard_normal((150, 32)) * rng.choice([0.01, 0.05, 0.1, 0.2], (150, 1))
     coded, code = coded_rows(spark, x)
     far = np.bitwise_count(code[:, None] ^ code[None]).sum(axis=2)
-    got = {(r.q1, r.c1) for r in ann.probed(coded.where("c1 < 60"), coded, p, 300).collect()}
+    got = {(r.q1, r.c1) for r in ann.probed(coded.where("c1 < 60"), coded, p, 300).collect() if r.d == far[r.q1, r.c1]}
     want = {(q, c) for q in range(60) for c in range(300) if far[q, c] < ann.N_SUB * (p + 1)}
     assert got == want and len(want) > 90
 

@@ -11,7 +11,7 @@
    copied but a row for each substring, and queries to `PROBE_BITS` bits' worth of values.
 4. The radius grows with p until a query's k-th best inner product is one that no vector outside the radius is expected to have:
    its angle would have to be `SIGMAS` standard deviations less than its code says, and its norm the largest.
-   Queries whose probes would touch more than a share `CHEAP` of all codes (and more than `FEW`) don't probe at that radius.
+   Each radius is tried on what one join for the largest finds. Queries whose probes would touch more than a share `CHEAP` of all codes (and more than `FEW`) don't probe.
 5. Queries still open take a radius at which probes touch (nearly) every code: codes are read whole, dealt in blocks once, and the
    queries go to every block. In each block the radius is that of its `want` * k nearest codes, all of which are ranked;
    where norms differ, as many again by norm-scaled estimate.
@@ -111,7 +111,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def probed(queries: DataFrame, coded: DataFrame, p: int, n_codes: int) -> DataFrame:
-    """(q1, q2, qv, c1, c2): for queries that may probe at `p` bits, each with all classes within the radius N_SUB * (p + 1) - 1."""
+    """(q1, q2, c1, c2, d): for queries that may probe at `p` bits, each with all classes within the radius N_SUB * (p + 1) - 1, and their distance d."""
     index = coded.select(*CLASS, "code", F.posexplode(substrings(F.col("code"))).alias("j", "value"))
     masks = F.array(*[F.lit(m) for m in masks_within(p)])
     asked = queries.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("code").alias("q_code"), F.posexplode(substrings(F.col("code"))).alias("j", "own"))
@@ -121,22 +121,22 @@ def probed(queries: DataFrame, coded: DataFrame, p: int, n_codes: int) -> DataFr
     touched = asked.select("q1", "q2", "j", "value").join(sizes, ["j", "value"]).groupBy("q1", "q2").agg(F.sum("n").alias("n"))
     may = touched.where(F.col("n") <= max(FEW, CHEAP * n_codes)).select("q1", "q2")
     radius = N_SUB * (p + 1) - 1
-    pairs = asked.join(may, ["q1", "q2"], "left_semi").join(index, ["j", "value"]).where(distance(F.col("q_code"), F.col("code")) <= radius)
-    return pairs.select("q1", "q2", *CLASS).distinct()
+    pairs = asked.join(may, ["q1", "q2"], "left_semi").join(index, ["j", "value"]).withColumn("d", distance(F.col("q_code"), F.col("code")))
+    return pairs.where(F.col("d") <= radius).select("q1", "q2", *CLASS, "d").distinct()
 
 
 def scored(pairs: DataFrame, queries: DataFrame, coded: DataFrame, dim: int) -> DataFrame:
-    """(q1, q2, vec_id, m, score): the ids of pairs, how often they stand, and the inner product."""
+    """(q1, q2, d, vec_id, m, score): the ids of pairs, how often they stand, and the inner product."""
     q = queries.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("v").alias("qv"))
-    both = pairs.join(q, ["q1", "q2"]).join(coded.select(*CLASS, "v", F.arrays_zip("ids", "times").alias("ids")), CLASS).select("q1", "q2", "ids", "qv", "v")
+    both = pairs.join(q, ["q1", "q2"]).join(coded.select(*CLASS, "v", F.arrays_zip("ids", "times").alias("ids")), CLASS).select("q1", "q2", "d", "ids", "qv", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = (_matrix(b.column("qv"), dim) * _matrix(b.column("v"), dim)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("q1"), b.column("q2"), b.column("ids"), pa.array(score, pa.float64())], names=["q1", "q2", "ids", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("q1"), b.column("q2"), b.column("d"), b.column("ids"), pa.array(score, pa.float64())], names=["q1", "q2", "d", "ids", "score"])
 
-    out = both.mapInArrow(run, "q1 long, q2 long, ids array<struct<ids:long,times:int>>, score double").withColumn("x", F.explode("ids"))
-    return out.select("q1", "q2", F.col("x.ids").alias("vec_id"), F.col("x.times").alias("m"), "score")
+    out = both.mapInArrow(run, "q1 long, q2 long, d int, ids array<struct<ids:long,times:int>>, score double").withColumn("x", F.explode("ids"))
+    return out.select("q1", "q2", "d", F.col("x.ids").alias("vec_id"), F.col("x.times").alias("m"), "score")
 
 
 class Block:
@@ -254,14 +254,16 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, want: i
     longest = coded.agg(F.max(norm)).first()[0]
 
     done, todo = [], queries
+    # one join with the index for the largest radius that is probed; the smaller ones are parts of what it finds
+    met = checkpointed(scored(probed(queries, coded, PROBE_BITS, n_codes), queries, coded, dim))
     for p in range(PROBE_BITS + 1):
         radius = N_SUB * (p + 1) - 1
-        top = best_of(scored(probed(todo, coded, p, n_codes), todo, coded, dim), k)
+        top = best_of(met.where(F.col("d") <= radius).drop("d"), k)
         last = top.where(F.col("n") == k + 1).select(F.col("q1").alias("c1"), F.col("q2").alias("c2"), F.col("score").alias("last"))
         bound = norm * float(longest * np.cos(least_angle(radius)))
         sure = checkpointed(todo.join(last, CLASS).where(F.col("last") >= bound).select(F.col("c1").alias("q1"), F.col("c2").alias("q2")))
         if not sure.isEmpty():
-            done.append(checkpointed(top.join(sure, ["q1", "q2"], "left_semi").withColumn("radius", F.lit(radius))))
+            done.append(top.join(sure, ["q1", "q2"], "left_semi").withColumn("radius", F.lit(radius)))
             todo = checkpointed(todo.join(sure, (F.col("c1") == F.col("q1")) & (F.col("c2") == F.col("q2")), "left_anti"))
     top = best_of(scanned(todo, coded, n_codes, dim, k + 1, want), k).withColumn("radius", F.lit(None).cast("int"))
     for part in done:
