@@ -6,12 +6,13 @@
    dimensions go through a single-pass randomised SVD: each task sums A'(A Omega) over its
    passages, sums of tasks are added up in a tree, and the driver factors the DIMS * RANK result.
 3. Candidates: at every stride of every document, the window of `FIT` strides with a stride on either side, if it holds
-   as many of an item's terms as step 4 can do with at the least (of all its words, where terms are too few to tell). Nothing
-   that step 4 accepts in it is left out. The cosine given is the best of the projections of 1, 2 and 4 strides there; it decides nothing.
+   as many of an item's terms as step 4 can do with at the least (of all its words, where terms are too few to tell). Windows are
+   found by the item's rarest terms: one without any of as many as could be missing can't hold enough of the rest, so windows and items are
+   never paired otherwise. Nothing that step 4 accepts in it is left out. The cosine given is the best of the projections of 1, 2 and 4 strides there; it decides nothing.
 4. Check: the longest common subsequence of words of the item and the window. A share of `SURE` of the item's words, or of `LCS` of its words and of its terms alone, is a copy; a share of `PARA` is a
    paraphrase if the window also holds the item's answer: the last `ANSWER` terms of its last sentence, in order.
 
-Items of over `PART` words are looked for in parts, and are found if a part is. Benchmarks are read in blocks of `BLOCK_ITEMS` items (bounded texts on each executor); documents
+Items of over `PART` words are looked for in parts, and are found if a part is. Benchmarks are read in blocks of `BLOCK_ITEMS` items or `BLOCK_CHARS` characters (bounded on each executor); documents
 are read once for a block and step. What tasks send is DIMS * RANK numbers and one count a term.
 
 Nulls and empty texts on either side match nothing. Items with no term but stop words are compared
@@ -34,7 +35,7 @@ from .common import numbered
 
 STRIDE, FIT, DIMS, RANK = 24, 4, 1024, 96
 COMMON, SURE, LCS, PARA, ANSWER = 0.1, 0.8, 0.7, 0.5, 3
-BLOCK_ITEMS, ROWS, SLICE_BYTES, PART = 4096, 400, 1 << 21, 64
+BLOCK_ITEMS, BLOCK_CHARS, ROWS, SLICE_BYTES, PART, WINDOWS = 4096, 1 << 23, 400, 1 << 21, 64, 20_000
 _QUOTES = dict.fromkeys("«»„“”’‘‚–—…¿¡", " ")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -143,15 +144,31 @@ class Model:
         self.matrix = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         self.rare = [[w for w in ws if self.idf[self.vocab[w]] > 0] for _, ws in self.items]
         # the terms (or words) of an item by which windows are found, each with its count in the item, and how many a match has at the least
-        posts: list[tuple[int, int, int]] = []
+        counts: list[tuple[int, int, int]] = []
+        rarest: list[tuple[int, int]] = []
         self.need = np.zeros(len(self.items))
         for n, ((_, ws), rare) in enumerate(zip(self.items, self.rare, strict=True)):
             least = min(PARA * len(rare), len(rare) - (1 - SURE) * len(ws))
-            by, self.need[n] = (rare, least) if least > 1 else (ws, PARA * len(ws))
-            posts += [(self.vocab[w], n, c) for w, c in Counter(by).items()]
-        self.need -= 1e-6  # of rounding
-        of, self.post_item, self.post_count = np.array(sorted(posts), np.int64).reshape(-1, 3).T
-        self.post_first = np.searchsorted(of, np.arange(len(self.vocab) + 1))
+            by, need = (rare, least) if least > 1 else (ws, PARA * len(ws))
+            self.need[n] = need - 1e-6  # of rounding
+            of = Counter(self.vocab[w] for w in by)
+            counts += [(n, t, c) for t, c in of.items()]
+            # a window without any of the rarest terms, up to here, can't hold enough of the others
+            left = len(by)
+            for t in sorted(of, key=lambda t: (-self.idf[t], t)):
+                if left < self.need[n]:
+                    break
+                rarest.append((t, n))
+                left -= of[t]
+        table = np.array(sorted(counts), np.int64).reshape(-1, 3)
+        self.held, self.held_count = table[:, 0] * len(self.vocab) + table[:, 1], table[:, 2]
+        of_term, self.post_item = np.array(sorted(rarest), np.int64).reshape(-1, 2).T
+        self.post_first = np.searchsorted(of_term, np.arange(len(self.vocab) + 1))
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, .. of each run behind each other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def lcs_length(a: list[bytes], b: list[bytes]) -> int:
@@ -289,36 +306,48 @@ class Scanner:
             return share, answered, "copy"
         return (share, answered, "paraphrase") if rare_share >= PARA and answered else None
 
+    def candidates(self, where: np.ndarray, term: np.ndarray, real: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(stride, item) of all windows that hold as many of an item's terms as a match does at the least, in turn.
+
+        `where` and `term`: the benchmark's terms in each stride, once each, in order; `real`: strides that are one. Windows are looked for by items' rarest terms
+        in them, without which no window can hold enough; the others are counted in those windows only."""
+        m, n_items = self.m, len(self.m.items)
+        size = m.post_first[term + 1] - m.post_first[term]
+        seeds = np.unique(np.repeat(where, size) * n_items + m.post_item[_runs(m.post_first[term], size)])
+        windows = np.unique((seeds[:, None] - np.arange(-1, FIT + 1)[None, :] * n_items).ravel())
+        stride = windows // n_items
+        windows = windows[(stride >= 0) & (stride < len(real))]
+        windows = windows[real[windows // n_items]]
+        for first in range(0, len(windows), WINDOWS):
+            own = windows[first : first + WINDOWS]
+            # each window's strides with the item, and how many of its terms they hold
+            cells = own[:, None] + np.arange(-1, FIT + 1)[None, :] * n_items
+            pair, at = np.unique(cells.ravel(), return_inverse=True)
+            lo, hi = np.searchsorted(where, pair // n_items), np.searchsorted(where, pair // n_items + 1)
+            owner = np.repeat(np.arange(len(pair)), hi - lo)
+            key = pair[owner] % n_items * len(m.vocab) + term[_runs(lo, hi - lo)]
+            place = np.minimum(np.searchsorted(m.held, key), len(m.held) - 1)
+            hit = m.held[place] == key
+            count = np.bincount(owner[hit], m.held_count[place[hit]], minlength=len(pair))[at].reshape(cells.shape).sum(axis=1)
+            enough = own[count >= m.need[own % n_items]]
+            yield enough // n_items, enough % n_items
+
     def __call__(self, w: Words) -> list[tuple[int, int, float, float, bool, str]]:
         """(place of the text, item, cosine, share, answered, kind) of each item found in each text."""
-        m, pad, width, n_items = self.m, FIT, FIT + 2, len(self.m.items)
+        m, pad = self.m, FIT + 2
         terms = m.lookup.of(w)
         at = np.flatnonzero(terms >= 0)
-        at = at[np.diff(m.post_first)[terms[at]] > 0]
-        if not len(at) or not n_items:
+        if not len(at) or not m.items:
             return []
         # strides of all texts behind each other, with some empty ones between texts and before the first
         own = -(-np.diff(w.first) // STRIDE)
         base = np.cumsum(own + pad) - own
         # each term once a stride
         where, term = np.divmod(np.unique((base[w.doc[at]] + w.place[at] // STRIDE) * len(m.vocab) + terms[at]), len(m.vocab))
-        total = int(base[-1] + own[-1])
-        real = np.zeros(total, bool)
-        real[np.repeat(base - np.cumsum(own) + own, own) + np.arange(own.sum())] = True
+        real = np.zeros(int(base[-1] + own[-1]), bool)
+        real[_runs(base, own)] = True
         found: dict[tuple[int, int], tuple] = {}
-        block = max(64, (1 << 20) // n_items)
-        for first in range(pad, total, block):
-            rows = min(block, total - first)
-            lo, hi = np.searchsorted(where, [first - 1, first + rows + FIT])
-            t = term[lo:hi]
-            size = m.post_first[t + 1] - m.post_first[t]
-            post = np.repeat(m.post_first[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            cell = np.repeat(where[lo:hi] - first + 1, size) * n_items + m.post_item[post]
-            count = np.bincount(cell, m.post_count[post], minlength=(rows + width - 1) * n_items).reshape(-1, n_items)
-            two = count[:-1] + count[1:]
-            p, item = np.nonzero(two[: -(width - 2)] + two[2:-2] + two[width - 2 :] >= m.need)
-            live = real[first + p]
-            p, item = first + p[live], item[live]
+        for p, item in self.candidates(where, term, real):
             doc = np.searchsorted(base, p, side="right") - 1
             s = p - base[doc]
             los, his = w.first[doc] + np.maximum(0, (s - 1) * STRIDE), np.minimum(w.first[doc + 1], w.first[doc] + (s + FIT + 1) * STRIDE)
@@ -350,11 +379,13 @@ def _models(docs: DataFrame, bench: DataFrame, text: str, item_key: str, item_te
         return spark.sparkContext.broadcast((model, {n: t for n, (_, t) in enumerate(block)}, [i for i, _ in block]))
 
     block: list[tuple[int, str]] = []
+    size = 0
     for r in items.toLocalIterator():
         block.append((r["i"], r["t"]))
-        if len(block) == BLOCK_ITEMS:
+        size += len(r["t"])
+        if len(block) == BLOCK_ITEMS or size >= BLOCK_CHARS:
             yield fitted(block)
-            block = []
+            block, size = [], 0
     if block:
         yield fitted(block)
 
