@@ -75,6 +75,27 @@ def test_token_index_round_trip(spark, tmp_path):
     assert token_index.token_index(table(spark, []), path).count() == 0
 
 
+def test_documents_by_key(spark, tmp_path):
+    """Keyed access over all shards, one key at a time and for a table of keys; foreign, null and repeated keys."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    docs = table(spark, ODD).unionByName(spark.createDataFrame([(None, "null key", None, None, None, None, None), (4, "again", None, None, None, None, None), (-(2**62), "far", None, None, None, None, None)], DOCS))
+    shards, directory = str(tmp_path / "s"), str(tmp_path / "d")
+    token_index.write_shards(docs, shards, path, 2, shard_tokens=50)
+    token_index.write_directory(spark, shards, directory, bucket_keys=4)
+    assert spark.read.parquet(shards).count() > 3 and spark.read.parquet(directory).count() > 2
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in [*enumerate(ODD), (-(2**62), "far")] if i != 4}
+    asked = spark.createDataFrame([(k,) for k in [*want, 4, None, 10**15, 3, 3]], "doc_id long")
+    got = {r.doc_id: r.ids for r in token_index.fetch(spark, shards, directory, asked).collect()}
+    assert got.pop(4) in ([*tok.encode(x, add_special_tokens=False).ids, 2] for x in (ODD[4], "again")) and got == want
+    assert all(token_index.lookup(spark, shards, directory, k).tolist() == want[k] for k in (0, 9, -(2**62))) and token_index.lookup(spark, shards, directory, 10**15) is None
+    token_index.write_shards(table(spark, []), shards, path, 2)
+    token_index.write_directory(spark, shards, directory)
+    assert token_index.lookup(spark, shards, directory, 1) is None and token_index.fetch(spark, shards, directory, asked).count() == 0
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
     index = token_index.Index(token_index.build_index(keys, np.stack([keys.astype(np.uint64) >> np.uint64(1), np.arange(len(keys), dtype=np.uint64)], 1)))

@@ -15,6 +15,9 @@ tasks safe, and any store that Spark writes to will do). A shard row holds
 rank, a fingerprint comparison, and one slice of the payload. A foreign key is refused
 unless its 32-bit fingerprint collides.
 
+`write_directory` puts a minimal perfect hash index over the keys of all shards beside them, in buckets by hash: key -> (fingerprint, shard, first
+id and number of ids). `lookup` reads one document by its key from one row of the directory and one shard; `fetch` does so for a table of keys.
+
 Nulls: a null text is an empty one; null keys come first, are stored and read back, and
 cannot be looked up. Repeated keys: all their documents are stored next to each other; the
 index points to the first of the shard. Very long texts are one document in one shard,
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_path
+from .common import checkpointed, mix64, quoted, shared_path
 
 MEMO_WORDS, MEMO_WORD, SLICE = 700_000, 64, 500
 #: Characters whose class and lower case are the same in every Unicode version: texts of these only are cut here, by the tokenizer's own rule.
@@ -50,6 +53,7 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_SPACES}{_
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SHARD_TOKENS = 1 << 20
 GAMMA, LEVELS = 1.5, 24
+DIRECTORY_SCHEMA, BUCKET_KEYS = "bucket int, buckets int, n_keys int, index binary", 1 << 15
 SHARD_SCHEMA = "part int, seq int, n_docs int, n_tokens long, min_key long, max_key long, null_keys int, width int, payload binary, keys binary, lengths binary, index binary"
 
 
@@ -253,7 +257,7 @@ def _pack(part: int, seq: int, keys: list, blobs: list[bytes], width: int) -> di
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, key: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the shards of all documents to `path`. One range shuffle by key; text is its only wide column."""
-    src = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    src = docs.select(quoted(key).cast("long").alias("k"), F.coalesce(quoted(text), F.lit("")).alias("t"))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -325,9 +329,132 @@ def read_shards(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
     return joined.select(F.col("k").alias(key), (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "part", "seq", "found")
 
 
+def bucket_of(key: int, buckets: int) -> int:
+    """The directory's bucket of a key: pmod(xxhash64(key), buckets), as Spark computes it."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
+def write_directory(spark: SparkSession, shards_path: str, path: str, bucket_keys: int = BUCKET_KEYS) -> None:
+    """Write the directory of all shards: for each bucket of keys, by hash, a minimal perfect hash index from key to shard and place in its payload.
+
+    Of a key that stands in several shards the first counts. One shuffle of 32 bytes a key; a task holds one bucket."""
+    shards = spark.read.parquet(shards_path)
+    total = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    buckets = max(1, -(-int(total) // bucket_keys))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                lengths = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
+                firsts = (np.cumsum(lengths) - lengths)[r["null_keys"] :]
+                keys, at = np.unique(np.frombuffer(r["keys"], "<i8"), return_index=True)
+                shard = np.full(len(keys), r["part"] << 32 | r["seq"], np.int64)
+                place = firsts[at] << 32 | lengths[r["null_keys"] :][at]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(shard), pa.array(place)], names=["k", "shard", "place"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = None
+
+        def index() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            keys, first = np.unique(rows[:, 0], return_index=True)
+            data = build_index(keys, rows[first, 1:])
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([at], pa.int32()), "buckets": pa.array([buckets], pa.int32()), "n_keys": pa.array([len(keys)], pa.int32()), "index": pa.array([data], pa.binary())})
+
+        for b in batches:
+            number = b.column("bucket").to_numpy()
+            rows = np.stack([b.column(c).to_numpy() for c in ("k", "shard", "place")], 1)
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if held and number[lo] != at:
+                    yield index()
+                    held = []
+                at = int(number[lo])
+                held.append(rows[lo:hi])
+        if held:
+            yield index()
+
+    rows = shards.select("part", "seq", "null_keys", "keys", "lengths").mapInArrow(entries, "k long, shard long, place long")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "k", "shard")
+    rows.mapInArrow(build, DIRECTORY_SCHEMA).write.mode("overwrite").parquet(path)
+
+
+def lookup(spark: SparkSession, shards_path: str, directory_path: str, key: int) -> np.ndarray | None:
+    """The ids of one document by its key, or None: one row of the directory and one of the shards are read."""
+    some = spark.read.parquet(directory_path)
+    head = some.select("buckets").first()
+    if head is None:
+        return None
+    row = some.where(F.col("bucket") == bucket_of(key, head["buckets"])).select("index").first()
+    index = Index(row["index"]) if row else None
+    at = index.find(np.array([key]))[0] if index else -1
+    if at < 0:
+        return None
+    shard, place = (int(v) for v in index.values[at])
+    held = spark.read.parquet(shards_path).where((F.col("part") == shard >> 32) & (F.col("seq") == (shard & 0xFFFFFFFF))).select("payload", "width").first()
+    return _slice(np.frombuffer(held["payload"], f"<u{held['width']}"), place)
+
+
+def _slice(ids: np.ndarray, place: int) -> np.ndarray:
+    return ids[place >> 32 : (place >> 32) + (place & 0xFFFFFFFF)]
+
+
+def fetch(spark: SparkSession, shards_path: str, directory_path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ids of all those keys (distinct, not null) that the shards hold. Keys go to their buckets of the directory, then to their shards, of which only these are read."""
+    directory = spark.read.parquet(directory_path)
+    head = directory.select("buckets").first()
+    asked = keys.select(quoted(key).cast("long").alias("k")).where("k is not null").distinct()
+    buckets = head["buckets"] if head else 1
+    asked = asked.select(F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).alias("role"), "k", F.lit(None).cast("binary").alias("index"))
+    both = asked.unionByName(directory.select("bucket", F.lit(0).alias("role"), F.lit(None).cast("long").alias("k"), "index"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index = None, None
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for bucket, role, k, data in zip(*(b.column(c).to_pylist() for c in ("bucket", "role", "k", "index")), strict=True):
+                if role == 0:
+                    at, index = bucket, Index(data)
+                elif bucket == at:
+                    n = int(index.find(np.array([k]))[0])
+                    if n >= 0:
+                        for c, v in zip(out, (k, *index.values[n]), strict=True):
+                            c.append(int(v))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["k", "shard", "place"])
+
+    located = checkpointed(both.repartition("bucket").sortWithinPartitions("bucket", "role").mapInArrow(find, "k long, shard long, place long"))
+    shards = spark.read.parquet(shards_path).select((F.shiftleft(F.col("part").cast("long"), 32) + F.col("seq")).alias("shard"), "width", "payload")
+    wanted = shards.join(located.select("shard").distinct(), "shard", "left_semi")
+    none = F.lit(None)
+    rows = wanted.select("shard", F.lit(0).alias("role"), "width", "payload", none.cast("long").alias("k"), none.cast("long").alias("place"))
+    rows = rows.unionByName(located.select("shard", F.lit(1).alias("role"), none.cast("int").alias("width"), none.cast("binary").alias("payload"), "k", "place"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = None
+        for b in batches:
+            for i in range(0, b.num_rows, SLICE):
+                found, lists = [], []
+                for r in b.slice(i, SLICE).to_pylist():
+                    if r["role"] == 0:
+                        ids = np.frombuffer(r["payload"], f"<u{r['width']}")
+                    else:
+                        found.append(r["k"])
+                        lists.append(_slice(ids, r["place"]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["k", "ids"])
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "role", "place").mapInArrow(cut, "k long, ids array<long>").withColumnRenamed("k", key)
+
+
 def token_index(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Write the shards of `docs` (to a new folder of the shared one unless `path` is given) and read all documents back."""
+    """Write the shards of `docs` (to the folder shards of a new folder of the shared one unless `path` is given) and their directory, and read all documents back."""
     spark = docs.sparkSession
-    path = path or shared_path(spark, "shards")
-    write_shards(docs, path, tokenizer_path, end_id, key, text)
-    return read_shards(spark, path, key)
+    path = path or shared_path(spark, "tokens")
+    write_shards(docs, f"{path}/shards", tokenizer_path, end_id, key, text)
+    write_directory(spark, f"{path}/shards", f"{path}/directory")
+    return read_shards(spark, f"{path}/shards", key)
