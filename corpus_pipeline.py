@@ -35,4 +35,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             drop_path(spark, before)
         before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # writes its shards; what it returns reads them only
+    if before:
+        drop_path(spark, before)
+    return out
