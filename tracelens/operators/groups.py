@@ -99,10 +99,17 @@ def leaks(df: DataFrame, q: str, split: str = "split") -> DataFrame:
 
 
 def balanced(df: DataFrame, by: list[str], label: str, most: int = 50_000, seed: int = 42, key: str = "id") -> DataFrame:
-    """[D4, by its description] At most `most` rows of each group, and of each label as many as of its rarest."""
-    w = Window.partitionBy(*by, label).orderBy(unit_hash(F.col(key), seed), key)
-    n = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.min("_n").alias("_m"), F.count(F.lit(1)).alias("_k"))
-    return df.join(n, by).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= F.least(F.col("_m"), F.floor(F.lit(most) / F.col("_k")))).drop("_i", "_m", "_k")
+    """[D4, by its description] At most `most` rows of each group, and of each label as many as of its rarest, in hash order.
+
+    Rows are counted by the beginning of their hash first, and ranked within it, so that no task orders a whole group."""
+    x = df.withColumn("_h", unit_hash(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, 3))
+    counts = x.groupBy(*by, label, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*by, label).orderBy("_p")) - F.col("_c")
+    n = counts.groupBy(*by, label).agg(F.sum("_c").alias("_n")).groupBy(*by).agg(F.min("_n").alias("_m"), F.count(F.lit(1)).alias("_k"))
+    quota = F.least(F.col("_m"), F.floor(F.lit(most) / F.col("_k")))
+    places = counts.withColumn("_b", before).join(n, by).where(F.col("_b") < quota).select(*by, label, "_p", "_b", quota.alias("_quota"))
+    rank = F.col("_b") + F.row_number().over(Window.partitionBy(*by, label, "_p").orderBy("_h", key))
+    return x.join(places, [*by, label, "_p"]).withColumn("_i", rank).where(F.col("_i") <= F.col("_quota")).select(*df.columns)
 
 
 def mixture(parts: list[tuple[DataFrame, float]], dedup: list[str], key: str, seed: int = 42) -> DataFrame:
@@ -112,7 +119,17 @@ def mixture(parts: list[tuple[DataFrame, float]], dedup: list[str], key: str, se
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
-    return out.withColumn("_i", F.row_number().over(Window.partitionBy(*dedup).orderBy(key))).where("_i = 1").drop("_i")
+    rest = [c for c in out.columns if c not in dedup]
+    return out.groupBy(*dedup).agg(F.min_by(F.struct(*rest), key).alias("_x")).select(*[F.col(c) if c in dedup else F.col(f"_x.{c}").alias(c) for c in out.columns])
+
+
+def row_numbers(df: DataFrame, key: str, name: str, chunk: int = 4096) -> DataFrame:
+    """Rows numbered from 0 in the order of a whole-number key: chunks of keys are counted first, and rows are ranked within their chunk."""
+    x = df.withColumn("_chunk", F.floor(F.col(key) / chunk))
+    counts = x.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select(F.col("_chunk").alias("_of"), (F.sum("_c").over(Window.orderBy("_chunk")) - F.col("_c")).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy("_chunk").orderBy(key)) - 1
+    return x.join(before, F.col("_chunk").eqNullSafe(F.col("_of"))).withColumn(name, (F.col("_b") + rank).cast("long")).drop("_chunk", "_of", "_b")
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import at_place
+
 IGNORE = -100
 
 
@@ -35,9 +37,21 @@ def top_share(df: DataFrame, share: float, seq: str = "seq", pos: str = "pos", e
     return df.withColumn("mask", F.row_number().over(w.orderBy(F.desc(entropy), pos)) <= k)
 
 
+def quantiles(df: DataFrame, quantile: float, batch: str, value: str) -> DataFrame:
+    """batch, _q, _n: the exact quantile of each batch's values, by linear interpolation, and how many there are.
+
+    The two values that it lies between are found by `at_place`, which counts values in ranges first, so a batch may be of any size."""
+    known = df.where(F.col(value).isNotNull()).select(batch, value)
+    stats = known.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).withColumn("_at", (F.col("_n") - 1) * F.lit(float(quantile)))
+    ends = [at_place(known, stats.select(batch, f(F.col("_at")).cast("long").alias("_place"), "_lo", "_hi"), batch, value).withColumnRenamed(value, name) for f, name in ((F.floor, "_low"), (F.ceil, "_high"))]
+    both = stats.join(ends[0], batch).join(ends[1], batch)
+    between = (F.ceil("_at") - F.col("_at")) * F.col("_low") + (F.col("_at") - F.floor("_at")) * F.col("_high")
+    return both.select(batch, F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between).alias("_q"), "_n")
+
+
 def quantile_mask(df: DataFrame, quantile: float = 0.8, batch: str = "batch", entropy: str = "entropy") -> DataFrame:
     """[W12] Marks tokens at or above the batch's entropy quantile; all of a batch of one."""
-    q = df.groupBy(batch).agg(F.percentile(entropy, quantile).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    q = quantiles(df, quantile, batch, entropy)
     return df.join(q, batch).withColumn("mask", (F.col("_n") <= 1) | (F.col(entropy) >= F.col("_q"))).drop("_q", "_n")
 
 

@@ -50,8 +50,9 @@ def at_place(pool: DataFrame, place: DataFrame, q: str, pos: str) -> DataFrame:
 
     Rows are counted in ranges of positions first, and only the range that holds the place is ranked, so a question may have any number of rows."""
     x = pool.join(place.withColumnRenamed(q, "_q"), F.col(q).eqNullSafe(F.col("_q"))).drop("_q")
-    width = (F.col("_hi").cast("double") - F.col("_lo") + 1) / BINS
-    x = x.withColumn("_bin", F.floor((F.col(pos).cast("double") - F.col("_lo")) / width))
+    reach = F.col("_hi").cast("double") - F.col("_lo")
+    part = F.when(reach > 0, (F.col(pos).cast("double") - F.col("_lo")) / reach).otherwise(0.0)
+    x = x.withColumn("_bin", F.least(F.floor(part * BINS), F.lit(BINS - 1)))
     counts = x.groupBy(q, "_bin", "_place").agg(F.count(F.lit(1)).alias("_c"))
     counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(q).orderBy("_bin")) - F.col("_c"))
     found = counts.where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_c"))).select(F.col(q).alias("_q"), F.col("_bin").alias("_b"), "_before")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, entropy, prompts, text, verdicts
@@ -291,9 +291,7 @@ SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025::DOUBLE), 6)
 def bootstrap_ci(spark, sf):
     p = views.predictions(spark, sf)
     d = p.select("doc_id", ((F.col("pred_b") == F.col("gold")).cast("int") - (F.col("pred_a") == F.col("gold")).cast("int")).alias("d"))
-    # questions are few: one number each
-    numbered = d.select("d", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"))
-    return rounded(metrics.interval(metrics.bootstrap(numbered, "d", 200)))
+    return rounded(metrics.interval(metrics.bootstrap(groups.row_numbers(d, "doc_id", "i").select("d", "i"), "d", 200)))
 
 
 @query(f"WITH {C} SELECT ans, count(*) AS verifier_calls, count(DISTINCT q) AS n_questions, round(count(*) / count(DISTINCT q)::DOUBLE, 6) AS calls_per_q FROM c GROUP BY ans")
