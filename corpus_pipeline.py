@@ -2,7 +2,11 @@
 
 Toxic documents go, then all but one of each group of near copies, then documents that hold benchmark
 passages; the rest is mixed to target weights by source, and the mix is written as token-id shards.
-Its rows are those that the last stage reads back from its shards."""
+Its rows are those that the last stage reads back from its shards.
+
+Null and empty texts pass the first three stages and, having no words, are not taken by the mix. Very long texts are whole in every stage. Of fully
+repeated rows and of near copies one stays (the smallest key; of one key the text of the smallest hash); rows without a key stay and come first. Extra columns pass all
+stages but the last, whatever their names. An empty table gives an empty result. An intermediate table is dropped when the stage that reads it is done."""
 
 from __future__ import annotations
 
@@ -26,7 +30,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
+    """All stages over the documents of `sf_dir`: doc_id, start, n_tokens and ids_crc32 of each document of the mix."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
