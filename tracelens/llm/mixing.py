@@ -30,6 +30,8 @@ from .common import WORD, checkpointed, quoted
 
 #: Fixed parameters of a mix.
 WEIGHTS, SHARE, MOST, BLOCK, CHUNK = (3, 1, 2), 1.5, 2, 1024, 1024
+#: Documents of a source in a chunk of its line, about.
+ROWS = 256
 #: 2**32 times 1 - 1/phi, to the nearest odd integer: k times it modulo 2**32 is a golden-ratio point, in exact long arithmetic.
 GOLDEN, RING = 1640531527, 1 << 32
 _BINS = 1 << 12
@@ -113,7 +115,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     d = checkpointed(d)
     src = checkpointed(targets(d, weights, share, most)).withColumn("quota", F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * most).cast("long"))
     largest = src.agg(F.coalesce(F.max("n_docs"), F.lit(0))).first()[0]
-    digits = max(1, min(8, -(-max(1, largest // CHUNK).bit_length() // 4)))
+    digits = max(1, min(8, -(-max(1, largest // ROWS).bit_length() // 4)))
 
     d = d.join(F.broadcast(src) if _few(src) else src, d["source"].eqNullSafe(src["source"])).select("k", d["source"], "size", "sid", "source_size", "target", "quota")
     d = d.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("k").cast("string"), F.lit("")))))
