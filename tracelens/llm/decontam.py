@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import numbered, quoted, spread
 
 STRIDE, FIT, DIMS, RANK = 24, 4, 1024, 96
 COMMON, SURE, LCS, PARA, ANSWER = 0.1, 0.8, 0.7, 0.5, 3
@@ -369,7 +369,7 @@ class Scanner:
 def _models(docs: DataFrame, bench: DataFrame, text: str, item_key: str, item_text: str) -> Iterator:
     """A broadcast (model, item texts, item keys) for each block of benchmark items."""
     spark = docs.sparkSession
-    src = docs.select(F.col(f"`{text}`").alias("t"))
+    src = spread(docs.select(quoted(text).alias("t")))
     items = bench.select(F.col(f"`{item_key}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null").orderBy("i", "t")
 
     def fitted(block: list[tuple[int, str]]):
@@ -392,7 +392,7 @@ def _models(docs: DataFrame, bench: DataFrame, text: str, item_key: str, item_te
 
 def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item found in it: key, item_id, cosine, lcs_share, answered, kind."""
-    src = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    src = spread(docs.select(quoted(key).alias("k"), quoted(text).alias("t")))
     schema = f"k {src.schema['k'].dataType.simpleString()}, item_id long, cosine double, lcs_share double, answered boolean, kind string"
 
     def finder(shared):
@@ -430,7 +430,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_k
 
         return clean
 
-    out, place = numbered(docs), f"c{docs.columns.index(text)}"
+    out, place = spread(numbered(docs)), f"c{docs.columns.index(text)}"
     schema = out.schema
     for shared in _models(docs, bench, text, item_key, item_text):
         out = out.mapInArrow(cleaner(shared), schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, checkpointed, drop_path, mix64, quoted, shared_path, shingle_set, word_list
+from .common import WordHash, checkpointed, drop_path, mix64, quoted, shared_path, shingle_set, spread, word_list
 
 BANDS, ROWS, BITS, SLICE = 38, 5, 4, 2048
 BLOCK, SALTS = 256, 32
@@ -254,6 +254,14 @@ def groups_in_blocks(placed: DataFrame) -> DataFrame:
     return out.withColumn("blocks", F.col("small") + F.aggregate("large", F.lit(0), lambda x, y: x + y["n"]))
 
 
+def by_pairs(rows: DataFrame) -> DataFrame:
+    """Rows dealt by (g, i, j): the pairs of a group's blocks go to tasks in turn, so that a large group fills them evenly."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    i = F.col("i").cast("long")
+    turn = F.pmod(F.pmod(F.xxhash64("g"), F.lit(n)) + F.floor(i * (i + 1) / 2).cast("long") + F.col("j"), F.lit(n)).cast("int")
+    return rows.repartitionById(n, turn).sortWithinPartitions("g", "i", "j")
+
+
 def meeting(members: DataFrame, threshold: float) -> DataFrame:
     """g, i, j, k, c, n_shingles, sig, block: the members that meet one of another component that they may be linked with, for each pair of blocks.
 
@@ -279,8 +287,7 @@ def meeting(members: DataFrame, threshold: float) -> DataFrame:
             need = sorted({p for _, *pair in near for p in pair})
             yield pa.RecordBatch.from_arrays([pa.array([held[p][n] for p in need], f.type) for n, f in enumerate(schema)], schema=schema)
 
-    dealt_rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return dealt_rows.mapInArrow(run, "g long, i int, j int, k long, c long, n_shingles long, sig binary, block int")
+    return by_pairs(rows).mapInArrow(run, "g long, i int, j int, k long, c long, n_shingles long, sig binary, block int")
 
 
 def across(met: DataFrame, threshold: float, percent: int, width: int) -> DataFrame:
@@ -314,14 +321,14 @@ def across(met: DataFrame, threshold: float, percent: int, width: int) -> DataFr
                     out.append((int(ks[p]), int(ks[x])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([max(o) for o in out], pa.int64()), "b": pa.array([min(o) for o in out], pa.int64())})
 
-    return met.select(*columns).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+    return by_pairs(met.select(*columns)).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of the shingle sets."""
     threshold = percent / 100
     src = docs.select(quoted(key).cast("long").alias("k"), quoted(text).alias("t"))
-    signed = checkpointed(signatures(src, width))
+    signed = checkpointed(signatures(spread(src), width))
     # one row per key, then one class per set; rows without a set stand alone
     of = signed.where("k is not null").groupBy("k").agg(F.min_by(F.struct("digest", "n_shingles"), "th").alias("x")).select("k", "x.*").where("digest is not null")
     of = checkpointed(of)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lengths_before, let
-from .common import checkpointed, quoted
+from .common import checkpointed, quoted, spread
 
 #: Fixed patterns of the base scan: kind, finder, and what a match must also be. Runs below the least length
 #: hold no match that counts, so the finders of the last two ask for it at once.
@@ -162,7 +162,7 @@ def thresholds(counts: list, levels: dict[str, float]) -> dict[str, dict[int, in
 def secret_scan(docs: DataFrame, fdr: float = FDR, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_assign, n_access, n_hex, base_sha256, spans, found (all spans as array<struct<start, ord, end, kind>>)."""
     t = F.coalesce(quoted(text), F.lit(""))
-    d = docs.select(quoted(key).alias("k"), *[spans(t, p, ok).alias(kind) for kind, p, ok in BASE], spans(t, TOKEN).alias("tokens"))
+    d = spread(docs.select(quoted(key).alias(key), quoted(text).alias(text))).select(quoted(key).alias("k"), *[spans(t, p, ok).alias(kind) for kind, p, ok in BASE], spans(t, TOKEN).alias("tokens"))
     place = lambda i, kind: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"))
     base = F.array_sort(F.concat(*[F.transform(kind, place(i, kind)) for i, (kind, _, _) in enumerate(BASE)]))
     d = d.select("k", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind, _, _ in BASE], base.alias("base"), "tokens")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, spread
+
 MEMO_UNITS, MEMO_UNIT, SLICE = 700_000, 64, 500
 _MARK = "▁"
 _UNIT = re.compile(" +[^ ]*")
@@ -117,7 +119,8 @@ def counter(path: str):
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_bytes, n_tokens, over_limit (n_tokens > limit). No shuffle."""
-    src = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"))
+    src = spread(docs.select(quoted(key).alias("k"), quoted(text).alias("x")))
+    src = src.select("k", F.coalesce("x", F.lit("")).alias("t"), F.coalesce(F.octet_length("x"), F.lit(0)).cast("long").alias("n_bytes"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_path)

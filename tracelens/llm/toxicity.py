@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import checkpointed, fresh, numbered, quoted
+from .common import checkpointed, fresh, numbered, quoted, spread
 
 #: Letters of the language model; 0 is the word edge and every other character.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßšž"
@@ -350,7 +350,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
     """Learns from all texts (language model) and from the labelled sample; labels of held-out documents (crc32 of the key modulo 5 is 0) are not used."""
     spark = docs.sparkSession
-    src = docs.select(quoted(key).alias("k"), quoted(text).alias("t"))
+    src = spread(docs.select(quoted(key).alias("k"), quoted(text).alias("t")))
     channel = spark.sparkContext.broadcast(Channel(trigram_counts(src)))  # SIZE**3 numbers
     known = labels.select(quoted(key).alias("k"), F.col("toxic").cast("int").alias("y")).where("k is not null and y is not null").where(crc_mod(F.col("k")) != 0)
     known = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
@@ -372,7 +372,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
     """All columns and rows of `docs` and, behind them, score and weight of lexicon words, under the two names returned. No shuffle of documents."""
     model = fit(docs, labels, sample, key, text)
     hits, score = fresh(docs, "_hits", "_score")
-    plain = numbered(docs)
+    plain = spread(numbered(docs))
     schema = StructType([*plain.schema.fields, StructField("hits", DoubleType()), StructField("n", LongType())])
     out = plain.mapInArrow(_annotator(lambda: Scorer(model.channel.value, model.lexicon), f"c{docs.columns.index(text)}", ["hits", "n"]), schema)
     return out.select(*plain.columns, model.score(F.col("hits"), F.col("n")), "hits").toDF(*docs.columns, score, hits), score, hits
