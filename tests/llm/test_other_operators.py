@@ -127,6 +127,29 @@ def test_hot_vectors_are_answered_for_each_row(spark, monkeypatch):
         assert [near[q, r] for r in range(1, 6)] == [[v] * (1 + (q == 2)) for v in want], q
 
 
+def test_recall_on_the_test_table(spark):
+    """Against brute force on a whole table without structure, where most queries take codes whole."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1"
+    try:
+        t = pq.read_table(f"{path}/embeddings.parquet")
+    except FileNotFoundError:
+        pytest.skip("no tables here")
+    ids, x = np.array(t["vec_id"]), np.array(t["embedding"].to_pylist(), np.float64)
+    place, near = {int(i): p for p, i in enumerate(ids)}, {}
+    for r in queries.op2_ann(spark, path).collect():
+        near.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(near) == sorted(int(i) for i in ids if i % 20 == 0) and all(len(n) == 20 for n in near.values())
+    hits = 0
+    for q, found in near.items():
+        score = x @ x[place[q]]
+        score[place[q]] = -np.inf
+        hits += len({v for _, v, _ in found} & set(ids[np.argsort(-score, kind="stable")[:20]].tolist()))
+        assert all(abs(s - score[place[v]]) < 1e-9 for _, v, s in found)
+    assert hits >= 0.97 * 20 * len(near)
+
+
 def plain_dialogues(rows):
     out = []
     for conv in {r[0] for r in rows}:
