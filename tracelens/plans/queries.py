@@ -357,7 +357,7 @@ def answer_norm_score(spark, sf):
 y AS (SELECT *, [v FOR v IN [trim(u, '.,!?;:()') FOR u IN w] IF regexp_full_match(regexp_replace(v, '[./-]', '', 'g'), '[0-9]+')] AS k FROM x)
 SELECT doc_id, CASE WHEN len(w) > 10 THEN coalesce(k[-1], w[-1]) ELSE t END AS form FROM y""")
 def answer_norm_light(spark, sf):
-    return views.read(spark, sf, "documents").select("doc_id", answers.light_form(F.col("text")).alias("form"))
+    return views.texts(spark, sf, "doc_id", "text").select("doc_id", answers.light_form(F.col("text")).alias("form"))
 
 
 @query("SELECT p_partkey, p_size || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '.00' END AS form FROM part")
@@ -368,13 +368,13 @@ def answer_norm_gold(spark, sf):
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\r\\f]+(\\n|$)', '\\1', 'g'), E' \\t\\n\\r') AS clean, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS question_norm FROM documents")
 def clean_text(spark, sf):
-    return views.read(spark, sf, "documents").select("doc_id", text.clean_whitespace(F.col("text")).alias("clean"), text.question_key(F.col("text")).alias("question_norm"))
+    return views.texts(spark, sf, "doc_id", "text").select("doc_id", text.clean_whitespace(F.col("text")).alias("clean"), text.question_key(F.col("text")).alias("question_norm"))
 
 
 @query("""WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?[.!?]+(?:\\s+|\\z)|(?s).+\\z') AS p FROM documents), y AS (SELECT doc_id, text, [s FOR s IN p IF trim(s, E' \\t\\n\\r') <> ''] AS k FROM x)
 SELECT doc_id, len(k)::BIGINT AS n_spans, length(k[1])::BIGINT AS first_end, (length(text) - length(k[-1]))::BIGINT AS last_start FROM y WHERE len(k) > 0""")
 def segment_sentences(spark, sf):
-    d = views.read(spark, sf, "documents").select("doc_id", segment.reasoning_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
+    d = views.texts(spark, sf, "doc_id", "text").select("doc_id", segment.reasoning_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
     return d.select("doc_id", F.size("s").cast("long").alias("n_spans"), F.element_at("s", 1)["e"].cast("long").alias("first_end"), F.element_at("s", -1)["s"].cast("long").alias("last_start"))
 
 
@@ -428,7 +428,7 @@ def entropy_of_logits(spark, sf):
 
 @query("""WITH x AS (SELECT doc_id, unnest(string_split_regex(trim(text, E' \\t\\n\\r'), '\\s+')) AS w FROM documents) SELECT doc_id, count(*) AS n_words, round(avg(ln(length(w))), 6) AS mean_entropy, round(sum(-ln(length(w))), 6) AS total_logprob FROM x WHERE w <> '' GROUP BY doc_id""")
 def word_entropy(spark, sf):
-    d = views.read(spark, sf, "documents").select("doc_id", F.explode(entropy.word_uniform(F.col("text"))).alias("t"))
+    d = views.texts(spark, sf, "doc_id", "text").select("doc_id", F.explode(entropy.word_uniform(F.col("text"))).alias("t"))
     return rounded(d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.avg("t.entropy").alias("mean_entropy"), (F.sum("t.logprob") + 0.0).alias("total_logprob")))
 
 

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of `documents` for queries whose work is in the texts: a small table is spread over the cores."""
+    return spread(read(spark, sf_dir, "documents").select(*columns))
+
+
 #: A made-up label and a made-up verdict of a candidate.
 OK, YES = "event_id % 3 <> 0", "value >= 30"
 
