@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: A word: a maximal run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,17 +49,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Tables of less than this for each core may be one file with one group of rows, which is read in one task.
-SMALL = 4 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The same rows over all cores, where a table is so small that its files don't give each core a part. No result depends on it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL and len(df.inputFiles()) < cores else df
-
-
 def word_list(text: str | None) -> list[bytes]:
     """Words of a text as the contracts define them (see WORD), A-Z lower-cased, in UTF-8.
 
@@ -131,3 +122,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+__all__ = ["WORD", "WordHash", "all_of", "checkpointed", "drop_path", "fresh", "mix64", "numbered", "quoted", "shared_dir", "shared_path", "shingle_set", "spread", "table", "word_list"]
