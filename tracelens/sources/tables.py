@@ -15,16 +15,16 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
 from ..functions.text import clean_whitespace, json_safe, number_or_nan, sample_key, source_metadata
 from . import schemas
 
-
 #: Tables of less than this for each core may be one file with one group of rows, which is read in one task.
 SMALL = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
     """The same rows over all cores, where a table is so small that its files don't give each core a part. No result depends on it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if size < cores * min(SMALL, split) and len(df.inputFiles()) < cores else df
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
