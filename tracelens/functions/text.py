@@ -48,7 +48,8 @@ def squash(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(strip(c), F.lit("")) == ""
+    """True for null and for texts of white space only; stops at the first other character."""
+    return ~F.coalesce(c.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def clean_whitespace(c: Column) -> Column:

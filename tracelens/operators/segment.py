@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.entropy import step_stats
-from ..functions.text import lengths_before, let, strip
+from ..functions.text import is_blank, lengths_before, let
 
 HEADER = r"(?miU)(?:^|\n)\s*Step\s+\d+\b"
 _SPAN = "array<struct<s:int,e:int,text:string>>"
@@ -25,7 +25,7 @@ def _placed(pieces: Column, base: Column | int = 0) -> Column:
 
 
 def _not_blank(spans: Column) -> Column:
-    return F.filter(spans, lambda x: strip(x["text"]) != "")
+    return F.filter(spans, lambda x: ~is_blank(x["text"]))
 
 
 def header_spans(text: Column) -> Column:
@@ -35,7 +35,7 @@ def header_spans(text: Column) -> Column:
     parts = F.concat(F.slice(gaps, 1, 1), F.transform(heads, lambda h, i: F.concat(h, F.get(gaps, i + 1))))
     spans = F.filter(_placed(parts), lambda x: x["e"] > x["s"])
     first_is_head = F.get(gaps, F.lit(0)) == ""
-    return F.when(F.size(heads) > 0, F.filter(spans, lambda x: (x["s"] > 0) | first_is_head | (strip(x["text"]) != "")))
+    return F.when(F.size(heads) > 0, F.filter(spans, lambda x: (x["s"] > 0) | first_is_head | ~is_blank(x["text"])))
 
 
 def paragraph_spans(text: Column) -> Column:

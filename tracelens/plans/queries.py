@@ -374,7 +374,8 @@ def clean_text(spark, sf):
 @query("""WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?[.!?]+(?:\\s+|\\z)|(?s).+\\z') AS p FROM documents), y AS (SELECT doc_id, text, [s FOR s IN p IF trim(s, E' \\t\\n\\r') <> ''] AS k FROM x)
 SELECT doc_id, len(k)::BIGINT AS n_spans, length(k[1])::BIGINT AS first_end, (length(text) - length(k[-1]))::BIGINT AS last_start FROM y WHERE len(k) > 0""")
 def segment_sentences(spark, sf):
-    d = views.texts(spark, sf, "doc_id", "text").select("doc_id", segment.reasoning_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
+    # only an empty text has no span; a condition on the spans would have them made twice
+    d = views.texts(spark, sf, "doc_id", "text").where("text <> ''").select("doc_id", segment.reasoning_spans(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("s").cast("long").alias("n_spans"), F.element_at("s", 1)["e"].cast("long").alias("first_end"), F.element_at("s", -1)["s"].cast("long").alias("last_start"))
 
 

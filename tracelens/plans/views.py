@@ -71,7 +71,7 @@ TAILS = (
 
 def teacher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of whole texts and a tail; question and solution are the whole text."""
-    j = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
+    j = texts(spark, sf_dir, "doc_id", "text", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
     tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (F.col("doc_id") % len(TAILS) + 1).cast("int"))
     return j.select(
         F.concat(F.lit("row-"), F.col("doc_id").cast("string")).alias("row_id"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 11 == 0, "error").otherwise("ok").alias("status"), F.concat(F.col("text"), tail).alias("answer_text"),
