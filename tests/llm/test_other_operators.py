@@ -165,10 +165,13 @@ def plain_dialogues(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("chunk", [2, 256])
-def test_perspectives(spark, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "heavy"), [(2, 2048), (256, 2048), (256, 2), (4, 3)])
+def test_perspectives(spark, chunk, heavy, monkeypatch):
     monkeypatch.setattr(chat, "CHUNK", chunk)
+    monkeypatch.setattr(chat, "HEAVY", heavy)
+    monkeypatch.setattr(chat, "PREFIX", 3)
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé🙂"), (1, 3, "ann", None), (1, 3, "ann", None), (2, None, None, ""), (None, 5, "x", "y"), (None, 6, "system", "z"), (3, 0, "system", "alone")] + [(4, i, f"p{i % 3}", "t" * i) for i in range(20)]
+    rows += [(5, None, "ab"[i % 2], f"text{i % 7}") for i in range(30)] + [(6, 7, "ab"[i % 2], "ä" * (i % 5) + "z") for i in range(30)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, p string")
     got = sorted(((r.conv_id, r.perspective, r.pos, r.start, r.end, r.mask_start, r.segment) for r in chat.perspectives(df).collect()), key=str)
     assert got == plain_dialogues(rows)

@@ -11,7 +11,8 @@ participant. A rendered dialogue is the concatenation of its turns' segments in
 One row per conversation, perspective and turn: the segment, its place in the dialogue, and the
 span of it that is trained on (text and end mark of assistant turns). So no conversation, however
 long, is gathered into one row or task: places come from sums of chunks of `CHUNK` turn numbers,
-then within a chunk. The text is shuffled once, by (conversation, chunk).
+then within a chunk. A chunk of `HEAVY` rows or more (turns of one number, or without one) is cut again, in the order of its rows: by turn, speaker
+and the text's first `PREFIX` characters; only turns that are the same in all of these are ranked in one task. The text is shuffled once, by (conversation, chunk).
 
 Nulls: a null text is empty, a null speaker is named "unknown", null turns come first, a null
 conversation id is one conversation. Empty texts keep their markers. Ties of turn are ordered by speaker and text; repeated rows are
@@ -24,14 +25,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 256
+from .common import checkpointed, quoted
+
+CHUNK, HEAVY, PREFIX = 256, 2048, 32
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
 def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: str = "system") -> DataFrame:
     """conv_id, perspective, pos (from 0 in the dialogue), turn, speaker, start, end, mask_start, mask_end, segment."""
-    t = turns.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{speaker}`"), F.lit("unknown")).alias("who"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
-    t = t.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 60))).cast("long"))
+    t = turns.select(
+        quoted(conv).alias("conv"), quoted(turn).cast("long").alias("turn"), F.coalesce(quoted(speaker), F.lit("unknown")).alias("who"), F.coalesce(quoted(text), F.lit("")).alias("body")
+    )
+    t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 60))).cast("long"))
+    # a chunk is a struct of its turn numbers' part and, in heavy parts, of what cuts them; nulls are replaced, so that it can be a key
+    sizes = t.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= HEAVY)
+    heavy = checkpointed(sizes.select(F.col("conv").alias("conv3"), F.col("part").alias("part3"), F.lit(True).alias("cut")))
+    small = heavy.limit(10_001).count() <= 10_000
+    t = t.join(F.broadcast(heavy) if small else heavy, F.col("conv").eqNullSafe(F.col("conv3")) & (F.col("part") == F.col("part3")), "left").drop("conv3", "part3")
+    cut = F.coalesce("cut", F.lit(False))
+    sub = [F.when(cut, c).otherwise(none).alias(n) for n, c, none in (("turn", F.coalesce("turn", F.lit(-(1 << 63))), F.lit(0)), ("who", F.col("who"), F.lit("")), ("start", F.substring("body", 1, PREFIX), F.lit("")))]
+    t = t.withColumn("chunk", F.struct("part", *sub)).drop("part", "cut")
     fixed = len(OPEN) + 1 + len(CLOSE)
     as_user = F.when(F.col("who") == system, F.lit(fixed + len(system))).otherwise(F.length("who") + fixed + len("user name="))
     t = t.withColumn("n_user", (as_user + F.length("body")).cast("long"))
