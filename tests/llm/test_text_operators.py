@@ -127,7 +127,7 @@ def plain_components(texts, percent=85):
     return [len(s) for s in sets], [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("block", [2, 8, 256])
+@pytest.mark.parametrize("block", [2, 8, 128])
 def test_near_duplicates_are_all_linked(spark, block, monkeypatch):
     """Chains and stars of near copies, where most members aren't linked with the smallest; small blocks, so groups span tasks."""
     monkeypatch.setattr(neardup, "BLOCK", block)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, checkpointed, drop_path, mix64, quoted, shared_path, shingle_set, spread, word_list
 
 BANDS, ROWS, BITS, SLICE = 38, 5, 4, 2048
-BLOCK, SALTS = 256, 32
+BLOCK, SALTS = 128, 32
 _SIZE = BANDS * ROWS + 63 & ~63  # whole words of bits
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _MUL = _rng.integers(0, 1 << 32, _SIZE, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -257,13 +257,12 @@ def groups_in_blocks(placed: DataFrame) -> DataFrame:
 def by_pairs(rows: DataFrame) -> DataFrame:
     """Rows dealt by (g, i, j): the pairs of a group's blocks go to tasks in turn, so that a large group fills them evenly."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    i = F.col("i").cast("long")
-    turn = F.pmod(F.pmod(F.xxhash64("g"), F.lit(n)) + F.floor(i * (i + 1) / 2).cast("long") + F.col("j"), F.lit(n)).cast("int")
+    turn = F.pmod(F.pmod(F.xxhash64("g"), F.lit(n)) + F.col("j").cast("long") * F.col("blocks") + F.col("i"), F.lit(n)).cast("int")
     return rows.repartitionById(n, turn).sortWithinPartitions("g", "i", "j")
 
 
 def meeting(members: DataFrame, threshold: float) -> DataFrame:
-    """g, i, j, k, c, n_shingles, sig, block: the members that meet one of another component that they may be linked with, for each pair of blocks.
+    """g, i, j, k, c, n_shingles, sig, block, blocks: the members that meet one of another component that they may be linked with, for each pair of blocks.
 
     `members`: g, k, c, n_shingles, sig, and the group's small, blocks, large. A task compares the signatures of two blocks; texts aren't needed
     yet. Blocks of one and the same large component don't meet."""
@@ -276,9 +275,10 @@ def meeting(members: DataFrame, threshold: float) -> DataFrame:
     met = F.when(F.col("own").isNull(), some(F.lit(0), F.col("blocks") - 1)).otherwise(others)
     # a block goes to the tasks of (larger block, smaller block) that it is one of
     to = F.transform(met, lambda j: F.struct(F.greatest("block", j).alias("i"), F.least("block", j).alias("j")))
-    columns = ("g", "i", "j", "k", "c", "n_shingles", "sig", "block")
-    rows = dealt.withColumn("to", F.explode(to)).select("g", "to.i", "to.j", "k", "c", "n_shingles", "sig", "block")
-    schema = pa.schema(list(zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)))
+    columns = ("g", "i", "j", "k", "c", "n_shingles", "sig", "block", "blocks")
+    rows = dealt.withColumn("to", F.explode(to)).select("g", "to.i", "to.j", "k", "c", "n_shingles", "sig", "block", "blocks")
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+    schema = pa.schema(list(zip(columns, kinds, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in block_rows(batches, columns):
@@ -287,7 +287,7 @@ def meeting(members: DataFrame, threshold: float) -> DataFrame:
             need = sorted({p for _, *pair in near for p in pair})
             yield pa.RecordBatch.from_arrays([pa.array([held[p][n] for p in need], f.type) for n, f in enumerate(schema)], schema=schema)
 
-    return by_pairs(rows).mapInArrow(run, "g long, i int, j int, k long, c long, n_shingles long, sig binary, block int")
+    return by_pairs(rows).mapInArrow(run, "g long, i int, j int, k long, c long, n_shingles long, sig binary, block int, blocks int")
 
 
 def across(met: DataFrame, threshold: float, percent: int, width: int) -> DataFrame:
@@ -321,7 +321,7 @@ def across(met: DataFrame, threshold: float, percent: int, width: int) -> DataFr
                     out.append((int(ks[p]), int(ks[x])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([max(o) for o in out], pa.int64()), "b": pa.array([min(o) for o in out], pa.int64())})
 
-    return by_pairs(met.select(*columns)).mapInArrow(run, "a long, b long")
+    return by_pairs(met.select(*columns, "blocks")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
