@@ -85,7 +85,9 @@ def by_confidence(df: DataFrame, q: str = "q", ans: str = "ans", pos: str = "pos
 
 def best_run(df: DataFrame, required: list[str], q: str = "q", run: str = "run", role: str = "role", pos: str = "pos") -> DataFrame:
     """[W4 J9 D1] The rows of each question's best run: most required roles covered, then most rows anywhere, then first."""
-    runs = df.groupBy(q, run).agg(F.size(F.array_intersect(F.collect_set(role), F.array(*[F.lit(r) for r in required]))).alias("cover"), F.min(pos).alias("first"), F.count(F.lit(1)).alias("m"))
+    has = [F.max(F.coalesce(F.col(role) == r, F.lit(False)).cast("int")) for r in dict.fromkeys(required)]
+    cover = sum(has[1:], has[0]) if has else F.max(F.lit(0))
+    runs = df.groupBy(q, run).agg(cover.alias("cover"), F.min(pos).alias("first"), F.count(F.lit(1)).alias("m"))
     everywhere = runs.groupBy(run).agg(F.sum("m").alias("freq"))
     best = runs.join(everywhere, run).groupBy(q).agg(F.max_by(run, F.struct("cover", "freq", -F.col("first"))).alias(run))
     return df.join(best, [q, run], "left_semi")
