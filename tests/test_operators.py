@@ -148,6 +148,26 @@ def test_ledger_and_files(spark, tmp_path):
     assert tables.read_table(spark, str(csv)).columns == ["id", "name"]
 
 
+def test_the_first_step_checks_before_it_writes(spark, tmp_path):
+    from tracelens.operators import generate
+
+    rows = [("d", "", "q", "#### 1", "", None, {"k": "v"}), ("d", "s1", "q", "#### 2", "", None, {"k": "v"})]
+    samples = spark.createDataFrame(rows, tables.schemas.CLEANED)
+    config = tables.GenerationConfig(k=2)
+    with pytest.raises(ValueError, match="errors"):
+        generate.run_step_one(spark, samples, str(tmp_path / "a"), "echo", config, strict=True)
+    assert not (tmp_path / "a").exists()
+    found = generate.run_step_one(spark, samples, str(tmp_path / "a"), "echo", config, "per_word_uniform").collect()
+    assert {(r.sample_id, r.check, r.severity) for r in found} >= {("<missing>", "missing_fields", "error")}
+    done = resume.side_table(spark, str(tmp_path / "a"), "step1_dataset").collect()
+    assert {(r.sample_id, r.answer_normalized) for r in done} == {("", "1"), ("s1", "2")} and [c.predicted_answer_raw for c in done[0].candidates] == ["0", "1"]
+    assert generate.step_one(samples, "echo", tables.GenerationConfig(k=0)).first().candidates == []
+    with pytest.raises(ValueError, match="entropy mode"):
+        generate.with_entropy(F.col("candidates"), "other")
+    with pytest.raises(ValueError, match="backend"):
+        generate.make_backend("none")
+
+
 def test_echo_and_function_backends(spark):
     df = spark.createDataFrame([("q1",)], "question string")
     cfg = tables.GenerationConfig(k=2)

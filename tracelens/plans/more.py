@@ -13,7 +13,7 @@ from ..operators import generate, groups, losses, metrics, quality, segment, sel
 from ..sources import schemas, tables
 from ..streaming import resume
 from . import views
-from .queries import _CAP, _T, _TRIM, SQL, query, r6, rounded
+from .queries import _T, _TRIM, SQL, query, rounded
 from .views import C, H, literal
 
 _WS = "E' \\t\\n\\r'"
@@ -473,7 +473,3 @@ def step_one_run(spark, sf):
         generate.run_step_one(spark, samples, base, lambda q, i: f"Step 1: {q}\nStep 2: #### {i}", config, "per_word_uniform")
     done = resume.side_table(spark, base, "step1_dataset").select("sample_id", F.posexplode("candidates").alias("candidate_index", "c"))
     return done.select("sample_id", "candidate_index", F.col("c.predicted_answer_normalized").alias("answer"), F.size("c.tokens").alias("n_tokens"), F.size("c.steps").alias("n_steps"))
-
-
-__all__ = ["scratch", "r6"]
-assert _CAP
