@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches. After each, what is free again goes back to the system: workers are kept for later tasks, several on each machine."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+
 def word_list(text: str | None) -> list[bytes]:
     """Words of a text as the contracts define them (see WORD), A-Z lower-cased, in UTF-8.
 
@@ -59,7 +78,7 @@ def word_list(text: str | None) -> list[bytes]:
 class WordHash:
     """64-bit hash of words, memoised in a bounded dictionary."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         import xxhash
 
         self._h, self._memo, self._limit = xxhash.xxh3_64_intdigest, {}, limit
@@ -124,4 +143,4 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-__all__ = ["WORD", "WordHash", "all_of", "checkpointed", "drop_path", "fresh", "mix64", "numbered", "quoted", "shared_dir", "shared_path", "shingle_set", "spread", "table", "word_list"]
+__all__ = ["WORD", "WordHash", "all_of", "checkpointed", "drop_path", "fresh", "lean", "mix64", "numbered", "quoted", "shared_dir", "shared_path", "shingle_set", "spread", "table", "word_list"]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, quoted, spread
+from .common import lean, numbered, quoted, spread
 
 STRIDE, FIT, DIMS, RANK = 24, 4, 1024, 96
 COMMON, SURE, LCS, PARA, ANSWER = 0.1, 0.8, 0.7, 0.5, 3
@@ -206,7 +206,7 @@ def _sum_rows(df: DataFrame, size: int) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_row = np.zeros(size), False
-        for b in batches:
+        for b in lean(batches):
             for z in b.column("z"):
                 total += np.frombuffer(z.as_buffer(), np.float64)
                 any_row = True
@@ -219,7 +219,7 @@ def _sum_rows(df: DataFrame, size: int) -> np.ndarray:
 
 def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Batches in slices of at most ROWS rows and about SLICE_BYTES, with their words."""
-    for b in batches:
+    for b in lean(batches):
         i = 0
         while i < b.num_rows:
             n, size = 0, 0

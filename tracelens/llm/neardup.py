@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, checkpointed, drop_path, mix64, quoted, shared_path, shingle_set, spread, word_list
+from .common import checkpointed, drop_path, lean, mix64, quoted, shared_path, shingle_set, spread, word_list, WordHash
 
 BANDS, ROWS, BITS, SLICE = 38, 5, 4, 2048
 BLOCK, SALTS = 128, 32
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
         import xxhash
 
         to_set = sets_of(width)
-        for b in batches:
+        for b in lean(batches):
             for i in range(0, b.num_rows, 1000):
                 x = b.slice(i, 1000)
                 n, digest, sig, bands = [], [], [], []
@@ -138,7 +138,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     least = least_equal(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             if b.num_rows:
                 eq = equal_counts(unpack(b.column("sa").to_pylist()), unpack(b.column("sb").to_pylist()))
                 keep = pa.array(eq >= least)
@@ -166,7 +166,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, salt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_set = sets_of(width)
         at, mine = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in lean(batches):
             for i in range(0, batch.num_rows, 500):
                 x = batch.slice(i, 500)
                 found = ([], [])
@@ -224,7 +224,7 @@ def near_pairs(ks: np.ndarray, cs: np.ndarray, ns: np.ndarray, blocks: np.ndarra
 def block_rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
     """The rows of each (g, i, j) in turn, as tuples of the columns, of which these are the first."""
     held: list[tuple] = []
-    for b in batches:
+    for b in lean(batches):
         for start in range(0, b.num_rows, 500):
             x = b.slice(start, 500)
             for r in zip(*(x.column(c).to_pylist() for c in columns), strict=True):

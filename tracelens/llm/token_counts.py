@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, spread
+from .common import lean, quoted, spread
 
-MEMO_UNITS, MEMO_UNIT, SLICE = 700_000, 64, 500
+MEMO_UNITS, MEMO_UNIT, SLICE = 300_000, 64, 500
 _MARK = "▁"
 _UNIT = re.compile(" +[^ ]*")
 
@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 4096, key: s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_path)
-        for b in batches:
+        for b in lean(batches):
             n = []
             for i in range(0, b.num_rows, SLICE):
                 n += c(b.column("t").slice(i, SLICE).to_pylist())

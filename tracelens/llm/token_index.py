@@ -40,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, quoted, shared_path
+from .common import checkpointed, lean, mix64, quoted, shared_path
 
-MEMO_WORDS, MEMO_WORD, SLICE = 700_000, 64, 500
+MEMO_WORDS, MEMO_WORD, SLICE = 300_000, 64, 500
 #: Characters whose class and lower case are the same in every Unicode version: texts of these only are cut here, by the tokenizer's own rule.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _SIGNS = "\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e\u20ac"
@@ -273,7 +273,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([_pack(part, seq, keys, blobs, width)], schema)
 
-        for b in batches:
+        for b in lean(batches):
             for i in range(0, b.num_rows, SLICE):
                 x = b.slice(i, SLICE)
                 for k, ids in zip(x.column("k").to_pylist(), enc(x.column("t").to_pylist()), strict=True):
@@ -302,7 +302,7 @@ def read_shards(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
     starts = shards.select("part", "seq", (F.sum("n_tokens").over(w) - F.col("n_tokens")).alias("in_part")).join(before, "part").select("part", "seq", (F.col("in_part") + F.col("before_part")).alias("base"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 s = Shard(row)
@@ -346,7 +346,7 @@ def write_directory(spark: SparkSession, shards_path: str, path: str, bucket_key
     buckets = max(1, -(-int(total) // bucket_keys))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for r in b.to_pylist():
                 lengths = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
                 firsts = (np.cumsum(lengths) - lengths)[r["null_keys"] :]
@@ -365,7 +365,7 @@ def write_directory(spark: SparkSession, shards_path: str, path: str, bucket_key
             data = build_index(keys, rows[first, 1:])
             return pa.RecordBatch.from_pydict({"bucket": pa.array([at], pa.int32()), "buckets": pa.array([buckets], pa.int32()), "n_keys": pa.array([len(keys)], pa.int32()), "index": pa.array([data], pa.binary())})
 
-        for b in batches:
+        for b in lean(batches):
             number = b.column("bucket").to_numpy()
             rows = np.stack([b.column(c).to_numpy() for c in ("k", "shard", "place")], 1)
             cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
@@ -416,7 +416,7 @@ def fetch(spark: SparkSession, shards_path: str, directory_path: str, keys: Data
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = None, None
-        for b in batches:
+        for b in lean(batches):
             out: tuple[list, list, list] = ([], [], [])
             for bucket, role, k, data in zip(*(b.column(c).to_pylist() for c in ("bucket", "role", "k", "index")), strict=True):
                 if role == 0:
@@ -437,7 +437,7 @@ def fetch(spark: SparkSession, shards_path: str, directory_path: str, keys: Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = None
-        for b in batches:
+        for b in lean(batches):
             for i in range(0, b.num_rows, SLICE):
                 found, lists = [], []
                 for r in b.slice(i, SLICE).to_pylist():

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import checkpointed, fresh, numbered, quoted, spread
+from .common import checkpointed, fresh, lean, numbered, quoted, spread
 
 #: Letters of the language model; 0 is the word edge and every other character.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßšž"
@@ -47,7 +47,7 @@ SIZE = 64
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Costs in nats of a sign read as a letter, of a sign or repeated letter dropped, of a repeated letter kept.
 AS_LETTER, DROP_SIGN, DROP_REPEAT, KEEP_REPEAT = 0.5, 1.5, 0.3, 1.0
-MEMO, SAMPLE = 500_000, 6_000
+MEMO, SAMPLE = 100_000, 6_000
 #: Stands before letters that were apart.
 JOINED = "\ufdd0"
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -72,7 +72,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lut, total = _lut(), np.zeros(SIZE**3, np.int64)
-        for b in batches:
+        for b in lean(batches):
             for i in range(0, b.num_rows, 200):
                 text = "\n\n".join(x for x in b.column("t").slice(i, 200).to_pylist() if x)
                 cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -232,7 +232,7 @@ def learn_lexicon(train: DataFrame, precision: float = 0.95, false_features: flo
     def counter(label: int, among):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
-            for b in batches:
+            for b in lean(batches):
                 for name, words, of in zip(*(b.column(c).to_pylist() for c in ("name", "words", "y")), strict=True):
                     if of == label and name in names.value:
                         f = features_of(words.split(" "))
@@ -312,7 +312,7 @@ def _training_rows(channel):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, memo = Restorer(channel.value), {}
-        for b in batches:
+        for b in lean(batches):
             for i in range(0, b.num_rows, 500):
                 x = b.slice(i, 500)
                 out, marks = [], []
@@ -383,7 +383,7 @@ def _annotator(scorer, text: str, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = scorer()
-        for b in batches:
+        for b in lean(batches):
             for i in range(0, b.num_rows, 500):
                 x = b.slice(i, 500)
                 hits, n = of(x.column(text).to_pylist())
