@@ -34,6 +34,12 @@ def candidate_list(texts: Column, tokens: Column | None = None) -> Column:
     return F.transform(rows, made)
 
 
+def bare_candidates(texts: Column) -> Column:
+    """Candidates of texts for `with_entropy` and `with_steps` alone, without the answers, which cost more than both."""
+    none = [F.array().cast(f"array<{kind}>").alias(name) for kind, name in ((schemas.TOKEN, "tokens"), (schemas.STEP, "steps"))]
+    return F.transform(texts, lambda t: F.struct(strip(F.coalesce(t, F.lit(""))).alias("reasoning_text"), *none))
+
+
 def response_candidates(response: Column) -> Column:
     """[G9] Candidates of a chat completion as JSON text: a choice each, with token log probabilities and the entropy of their alternatives."""
 

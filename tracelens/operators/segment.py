@@ -81,19 +81,25 @@ def token_span(s: Column, e: Column, n_chars: Column, n_tokens: Column) -> Colum
 
 
 def step_features(spans: Column, entropies: Column, n_chars: Column) -> Column:
-    """[G6 J10] Steps with token range and entropy statistics; without tokens (0, 0) and NaN."""
+    """[G6 J10] Steps with token range and entropy statistics; without tokens (0, 0) and NaN.
 
-    def step(e: Column, x: Column) -> Column:
+    A step costs what its own tokens cost: the text is measured once, and tokens are fetched by place, as `slice` copies the whole array first."""
+
+    def among(e: Column, t0: Column, t1: Column) -> Column:
+        return F.when(t1 > t0, F.transform(F.sequence(t0, t1 - 1), lambda i: F.get(e, i))).otherwise(F.array().cast("array<double>"))
+
+    def step(row: Column, x: Column) -> Column:
+        e, n_chars = row["e"], row["n_chars"]
         n = F.size(e)
         none = F.struct(F.lit(0).alias("t0"), F.lit(0).alias("t1"))
 
         def of(t: Column) -> Column:
             stats = lambda st: F.struct(t["t0"].alias("start_token"), t["t1"].alias("end_token"), *[st[k].alias(f"{k}_entropy") for k in ("mean", "max", "min", "std")])
-            return let(step_stats(F.slice(e, t["t0"] + 1, F.greatest(t["t1"] - t["t0"], F.lit(0)))), stats)
+            return let(step_stats(among(e, t["t0"], t["t1"])), stats)
 
         return let(F.when(n > 0, token_span(x["s"], x["e"], n_chars, n)).otherwise(none), of)
 
-    return let(entropies, lambda e: F.transform(spans, lambda x: step(e, x)))
+    return let(F.struct(entropies.cast("array<double>").alias("e"), n_chars.alias("n_chars")), lambda row: F.transform(spans, lambda x: step(row, x)))
 
 
 def segment(text: Column, entropies: Column) -> Column:

@@ -103,9 +103,10 @@ m AS (SELECT doc_id, l, t0, CASE WHEN t0 = t1 AND t1 < n THEN t1 + 1 ELSE t1 END
 a AS (SELECT doc_id, t0, t1, list_avg([ln(x) FOR x IN l[t0 + 1:t1]]) AS mean, list_max([ln(x) FOR x IN l[t0 + 1:t1]]) AS top FROM m)
 SELECT doc_id, count(*) AS n_steps, sum(t0)::BIGINT AS starts, sum(t1)::BIGINT AS ends, round(sum(mean), 4) AS mean_entropy, round(max(top), 6) AS max_entropy FROM a GROUP BY doc_id""")
 def step_features(spark, sf):
-    """Candidates with word entropies and the steps of their sentences."""
-    d = views.texts(spark, sf, "doc_id", "text").select("doc_id", generate.candidate_list(F.array("text")).alias("c"))
-    d = d.select("doc_id", generate.with_steps(generate.with_entropy(F.col("c"), "per_word_uniform")).alias("c")).select("doc_id", F.explode(F.col("c")[0]["steps"]).alias("s"))
+    """Candidates with word entropies and the steps of their sentences; of a candidate only what these need."""
+    d = tables.spread(views.read(spark, sf, "documents").select("doc_id", "text"), fine=True)
+    d = d.select("doc_id", generate.bare_candidates(F.array("text")).alias("c"))
+    d = d.select("doc_id", generate.with_steps(generate.with_entropy(F.col("c"), "per_word_uniform")).alias("c")).select("doc_id", F.explode_outer(F.col("c")[0]["steps"]).alias("s")).where("s is not null")  # `explode` would have the steps made again, twice, in a filter for rows that have some
     out = d.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_steps"), F.sum("s.start_token").alias("starts"), F.sum("s.end_token").alias("ends"), F.round(F.sum("s.mean_entropy"), 4).alias("mean_entropy"), F.round(F.max("s.max_entropy"), 6).alias("max_entropy")
     )

@@ -19,11 +19,16 @@ from . import schemas
 SMALL = 4 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The same rows over all cores, where a table is so small that its files don't give each core a part. No result depends on it."""
+def spread(df: DataFrame, fine: bool = False) -> DataFrame:
+    """The same rows over all cores, where a table is so small that its files don't give each core a part. No result depends on it.
+
+    With `fine`, a larger table is dealt into parts of SMALL bytes, so that a task with much to do for each byte is as long over any table; files
+    alone give parts of whole row groups."""
     spark = df.sparkSession
     cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if fine:
+        return df.repartition(max(cores, -(-size // SMALL)))
     return df.repartition(cores) if size < cores * min(SMALL, split) and len(df.inputFiles()) < cores else df
 
 
