@@ -168,9 +168,13 @@ def four_tables(samples: DataFrame) -> dict[str, DataFrame]:
 
 
 def export(samples: DataFrame, folder: str, append: bool = False) -> None:
-    """[S15] The four tables, the ledger last."""
-    for name, df in four_tables(samples).items():
-        write_jsonl(df, f"{folder}/{name}.jsonl", append)
+    """[S15] The four tables, the ledger last. Samples are made once for all four, and kept in memory or, what doesn't fit, on disk meanwhile."""
+    samples = samples.persist()
+    try:
+        for name, df in four_tables(samples).items():
+            write_jsonl(df, f"{folder}/{name}.jsonl", append)
+    finally:
+        samples.unpersist()
 
 
 def nested_get(config: dict, path: str, default=None):
