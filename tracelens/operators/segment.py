@@ -30,12 +30,16 @@ def _not_blank(spans: Column) -> Column:
 
 def header_spans(text: Column) -> Column:
     """[G2 W14] From each `Step n` header to the next; what stands before the first is a span unless blank. Null without headers."""
-    heads = F.regexp_extract_all(text, F.lit(HEADER), F.lit(0))
-    gaps = F.split(text, HEADER, -1)
-    parts = F.concat(F.slice(gaps, 1, 1), F.transform(heads, lambda h, i: F.concat(h, F.get(gaps, i + 1))))
-    spans = F.filter(_placed(parts), lambda x: x["e"] > x["s"])
-    first_is_head = F.get(gaps, F.lit(0)) == ""
-    return F.when(F.size(heads) > 0, F.filter(spans, lambda x: (x["s"] > 0) | first_is_head | ~is_blank(x["text"])))
+
+    def spans(x: Column) -> Column:
+        heads, gaps = x["heads"], x["gaps"]
+        parts = F.concat(F.slice(gaps, 1, 1), F.transform(heads, lambda h, i: F.concat(h, F.get(gaps, i + 1))))
+        placed = F.filter(_placed(parts), lambda y: y["e"] > y["s"])
+        first_is_head = F.get(gaps, F.lit(0)) == ""
+        return F.when(F.size(heads) > 0, F.filter(placed, lambda y: (y["s"] > 0) | first_is_head | ~is_blank(y["text"])))
+
+    # the text is cut once, not again for each header
+    return let(F.struct(F.regexp_extract_all(text, F.lit(HEADER), F.lit(0)).alias("heads"), F.split(text, HEADER, -1).alias("gaps")), spans)
 
 
 def paragraph_spans(text: Column) -> Column:

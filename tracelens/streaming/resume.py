@@ -42,7 +42,10 @@ def run(spark: SparkSession, source: str, schema: str | StructType, folder: str,
 
 def side_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A side table without the repeats of a resumed run, restricted to samples that the ledger has."""
-    return spark.read.parquet(f"{folder}/{name}").dropDuplicates(KEYS[name]).join(ledger(spark, folder).distinct(), "sample_id", "left_semi")
+    rows = spark.read.parquet(f"{folder}/{name}").dropDuplicates(KEYS[name])
+    if name == "step1_dataset":  # the ledger itself: of these only those without an id aren't in it
+        return rows.where("sample_id is not null")
+    return rows.join(ledger(spark, folder).distinct(), "sample_id", "left_semi")
 
 
 def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
